@@ -62,7 +62,10 @@ def matches_at_least(text: Column, pattern: str, needles: Sequence[str], hits: i
     return may_match(text, needles) & counted
 
 
-def matched_labels(text: Column, signatures: Sequence) -> Column:
-    """Array of the labels whose pattern occurs in the text."""
-    hits = [F.when(matches(text, s.pattern, s.needles), F.lit(s.label)) for s in signatures]
-    return F.array_compact(F.array(*hits))
+def label_each(text: Column, signatures: Sequence) -> Column:
+    """Generator of one value per signature: its label where it occurs, else null.
+
+    The generator's argument is a plain array, for which Catalyst adds no
+    emptiness filter; such a filter would evaluate all the regexes twice.
+    """
+    return F.explode(F.array(*[F.when(matches(text, s.pattern, s.needles), F.lit(s.label)) for s in signatures]))

@@ -124,7 +124,12 @@ def dialect_mart(questions: DataFrame) -> DataFrame:
 
 
 def feature_flags(questions: DataFrame) -> DataFrame:
-    """The 22 feature flags of each raw question, 0 or 1."""
+    """The 22 feature flags of each raw question, 0 or 1.
+
+    ``inline`` makes the flags outputs of a generator. Filters and scores above
+    it refer to finished values; through a projection Catalyst would copy the
+    regexes into each of them and search every body again.
+    """
     text = F.col("body_text")
 
     def flag(feature) -> Column:
@@ -136,7 +141,7 @@ def feature_flags(questions: DataFrame) -> DataFrame:
 
     return questions.select(
         F.col("id").alias("question_id"), search_text(F.col("body")).alias("body_text")
-    ).select("question_id", *map(flag, FEATURES))
+    ).select("question_id", F.inline(F.array(F.struct(*map(flag, FEATURES)))))
 
 
 def complexity_score() -> Column:

@@ -37,7 +37,14 @@ def rank_within(picked: DataFrame, df: DataFrame, value: str, key: str, rank: st
     ``picked`` must be bounded (a top-k result): it travels as one array. Each
     row of ``df`` counts itself towards the picked rows it precedes or equals.
     """
-    held = picked.agg(F.collect_list(F.struct(F.col(value).alias("v"), F.col(key).alias("k")))).scalar()
-    behind = F.filter(held, lambda p: (p["v"] < F.col(value)) | ((p["v"] == F.col(value)) & (p["k"] >= F.col(key))))
-    ranks = df.select(F.explode(behind)["k"].alias(key)).groupBy(key).agg(F.count(F.lit(1)).alias(rank))
+    entry = F.struct(F.col(value).alias("v"), F.col(key).alias("k"))
+    held = picked.agg(F.collect_list(entry).alias("held")).scalar()
+    behind = F.filter("held", lambda p: (p["v"] < F.col(value)) | ((p["v"] == F.col(value)) & (p["k"] >= F.col(key))))
+    keys = F.transform(behind, lambda p: p["k"])
+    ranks = (
+        df.withColumn("held", held)
+        .select(F.explode(keys).alias(key))
+        .groupBy(key)
+        .agg(F.count(F.lit(1)).alias(rank))
+    )
     return picked.join(F.broadcast(ranks), key, "left")

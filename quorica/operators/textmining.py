@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quorica.functions.catalogues import ERROR_SIGNATURES, KEYWORDS
 from quorica.functions.expressions import mean, ratio, row_count, share
-from quorica.functions.patterns import matched_labels, search_text
+from quorica.functions.patterns import label_each, search_text
 from quorica.operators.marts import SHOWCASE_FLAGS
 
 
@@ -21,7 +21,8 @@ def error_matches(questions: DataFrame) -> DataFrame:
     text = search_text(F.col("title"), F.col("body"))
     return (
         questions.select(*facts, text.alias("text"))
-        .select(*facts, F.explode(matched_labels(F.col("text"), ERROR_SIGNATURES)).alias("error_pattern"))
+        .select(*facts, label_each(F.col("text"), ERROR_SIGNATURES).alias("error_pattern"))
+        .where(F.col("error_pattern").isNotNull())
     )
 
 
@@ -51,12 +52,12 @@ def accepted_answers(answers: DataFrame, questions: DataFrame) -> DataFrame:
     return answers.join(accepted, F.col("id") == F.col("accepted_answer_id")).drop("accepted_answer_id")
 
 
-def _keyword_hits(posts: DataFrame) -> DataFrame:
-    """Id and keywords of each post in which a keyword occurs."""
+def keyword_hits(posts: DataFrame) -> DataFrame:
+    """One row per post and keyword found in its body."""
     return (
         posts.select("id", search_text(F.col("body")).alias("text"))
-        .select("id", matched_labels(F.col("text"), KEYWORDS).alias("keywords"))
-        .where(F.size("keywords") > 0)
+        .select("id", label_each(F.col("text"), KEYWORDS).alias("keyword"))
+        .where(F.col("keyword").isNotNull())
     )
 
 
@@ -68,12 +69,11 @@ def keyword_frequency(questions: DataFrame, answers: DataFrame, slim_questions:
     ids from a cheaper source.
     """
     ids = questions if slim_questions is None else slim_questions
-    asked = _keyword_hits(questions).select("keywords", F.lit(1).alias("asked"))
-    solved = accepted_answers(_keyword_hits(answers), ids).select("keywords", F.lit(0).alias("asked"))
+    asked = keyword_hits(questions).select("keyword", F.lit(1).alias("asked"))
+    solved = accepted_answers(keyword_hits(answers), ids).select("keyword", F.lit(0).alias("asked"))
     in_questions, in_answers = F.col("in_questions"), F.col("in_accepted_answers")
     return (
         asked.unionByName(solved)
-        .select(F.explode("keywords").alias("keyword"), "asked")
         .groupBy("keyword")
         .agg(
             F.count_if(F.col("asked") == 1).alias("in_questions"),
