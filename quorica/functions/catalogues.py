@@ -140,7 +140,7 @@ FEATURES = (
     Feature("f_drop", r"(?i)\bdrop\s+(table|view|index|database)\b", 2, "DML / DDL", ("drop",)),
     Feature("f_group_by", r"(?i)\bgroup\s+by\b", 2, "Intermediate", ("group",)),
     Feature("f_join", r"(?i)\bjoin\b", 2, "Intermediate", ("join",)),
-    Feature("f_aggregate", r"(?i)\b(count|sum|avg|min|max)\s*\(", 2, "Intermediate", ("(",)),
+    Feature("f_aggregate", r"(?i)\b(count|sum|avg|min|max)\s*\(", 2, "Intermediate", ("count", "sum", "avg", "min", "max")),
     Feature("f_having", r"(?i)\bhaving\b", 2, "Intermediate", ("having",)),
     Feature("f_case_when", r"(?i)\bcase\s+when\b", 3, "Advanced", ("case",)),
     Feature("f_set_ops", r"(?i)\b(union|intersect|except)\b", 3, "Advanced", ("union", "intersect", "except")),

@@ -18,19 +18,32 @@ from pyspark.sql import functions as F
 _SPACE = r"\t\n\f\r "
 _BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 _TOKEN = re.compile(r"\\.|[\[\]]|[^\\\[\]]+", re.DOTALL)
+_WORDS = re.compile(r"\(([a-z_]+(?:\|[a-z_]+)*)\)(?![?*{])|([a-z_])[a-z_]")
+LONG_S = "\u017f"
+
+
+def _boundary(rest: str) -> str:
+    """An ASCII word boundary, tried only where one of the words that follow can start."""
+    words = _WORDS.match(rest)
+    if not words:
+        return _BOUNDARY
+    initials = sorted({word[0] for word in (words[1] or words[2]).split("|")})
+    return f"(?=[{''.join(initials)}]){_BOUNDARY}"
 
 
 def java_pattern(pattern: str) -> str:
     """The Java form of a case-insensitive RE2 pattern."""
+    pattern = pattern.removeprefix("(?i)")
     in_class = False
     out = []
-    for token in _TOKEN.findall(pattern.removeprefix("(?i)")):
+    for found in _TOKEN.finditer(pattern):
+        token = found.group()
         if token in "[]":
             in_class = token == "["
         elif token == r"\s":
             token = _SPACE if in_class else f"[{_SPACE}]"
         elif token == r"\b":
-            token = _BOUNDARY
+            token = _boundary(pattern[found.end() :])
         out.append(token)
     return "(?iud)" + "".join(out)
 
@@ -42,30 +55,35 @@ def search_text(*parts: Column) -> Column:
     return F.lower(F.concat(*spaced))
 
 
-def may_match(text: Column, needles: Sequence[str]) -> Column:
-    """False only where no needle occurs.
+def folded(text: Column) -> Column:
+    """Text for the substring test.
 
-    The long s (U+017F) is the one letter that folds to ASCII under
-    case-insensitive matching and survives ``lower``; it counts as ``s`` here.
+    The long s is the one letter that folds to ASCII under case-insensitive
+    matching and survives ``lower``.
     """
-    folded = F.replace(text, F.lit("\u017f"), F.lit("s"))
-    return reduce(or_, [F.contains(folded, F.lit(n)) for n in needles])
+    return F.replace(text, F.lit(LONG_S), F.lit("s"))
+
+
+def may_match(plain: Column, needles: Sequence[str]) -> Column:
+    """False only where no needle occurs in the folded text."""
+    return reduce(or_, [F.contains(plain, F.lit(needle)) for needle in needles])
 
 
-def matches(text: Column, pattern: str, needles: Sequence[str]) -> Column:
-    return may_match(text, needles) & F.rlike(text, F.lit(java_pattern(pattern)))
+def matches(text: Column, plain: Column, signature) -> Column:
+    """Whether the pattern occurs in the text; ``plain`` is the folded text."""
+    return may_match(plain, signature.needles) & F.rlike(text, F.lit(java_pattern(signature.pattern)))
 
 
-def matches_at_least(text: Column, pattern: str, needles: Sequence[str], hits: int) -> Column:
+def matches_at_least(text: Column, plain: Column, signature, hits: int) -> Column:
     """Whether the pattern occurs ``hits`` times or more."""
-    counted = F.regexp_count(text, F.lit(java_pattern(pattern))) >= hits
-    return may_match(text, needles) & counted
+    counted = F.regexp_count(text, F.lit(java_pattern(signature.pattern))) >= hits
+    return may_match(plain, signature.needles) & counted
 
 
-def label_each(text: Column, signatures: Sequence) -> Column:
+def label_each(text: Column, plain: Column, signatures: Sequence) -> Column:
     """Generator of one value per signature: its label where it occurs, else null.
 
     The generator's argument is a plain array, for which Catalyst adds no
     emptiness filter; such a filter would evaluate all the regexes twice.
     """
-    return F.explode(F.array(*[F.when(matches(text, s.pattern, s.needles), F.lit(s.label)) for s in signatures]))
+    return F.explode(F.array(*[F.when(matches(text, plain, s), F.lit(s.label)) for s in signatures]))

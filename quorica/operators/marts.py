@@ -15,7 +15,7 @@ from quorica.functions.catalogues import (
     TOP_COMPLEXITY_TIER,
 )
 from quorica.functions.expressions import first_below, mean, row_count, share
-from quorica.functions.patterns import matches, matches_at_least, search_text
+from quorica.functions.patterns import folded, matches, matches_at_least, search_text
 
 FLAGS = [f.flag for f in FEATURES]
 # The ad-hoc scoring query lists every flag but the data-definition ones.
@@ -130,18 +130,20 @@ def feature_flags(questions: DataFrame) -> DataFrame:
     it refer to finished values; through a projection Catalyst would copy the
     regexes into each of them and search every body again.
     """
-    text = F.col("body_text")
+    text, plain = F.col("text"), F.col("plain")
 
     def flag(feature) -> Column:
         if feature.min_hits > 1:
-            hit = matches_at_least(text, feature.pattern, feature.needles, feature.min_hits)
+            hit = matches_at_least(text, plain, feature, feature.min_hits)
         else:
-            hit = matches(text, feature.pattern, feature.needles)
+            hit = matches(text, plain, feature)
         return hit.cast("long").alias(feature.flag)
 
-    return questions.select(
-        F.col("id").alias("question_id"), search_text(F.col("body")).alias("body_text")
-    ).select("question_id", F.inline(F.array(F.struct(*map(flag, FEATURES)))))
+    return (
+        questions.select(F.col("id").alias("question_id"), search_text(F.col("body")).alias("text"))
+        .withColumn("plain", folded(text))
+        .select("question_id", F.inline(F.array(F.struct(*map(flag, FEATURES)))))
+    )
 
 
 def complexity_score() -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quorica.functions.catalogues import ERROR_SIGNATURES, KEYWORDS
 from quorica.functions.expressions import mean, ratio, row_count, share
-from quorica.functions.patterns import label_each, search_text
+from quorica.functions.patterns import folded, label_each, search_text
 from quorica.operators.marts import SHOWCASE_FLAGS
 
 
@@ -21,7 +21,8 @@ def error_matches(questions: DataFrame) -> DataFrame:
     text = search_text(F.col("title"), F.col("body"))
     return (
         questions.select(*facts, text.alias("text"))
-        .select(*facts, label_each(F.col("text"), ERROR_SIGNATURES).alias("error_pattern"))
+        .withColumn("plain", folded(F.col("text")))
+        .select(*facts, label_each(F.col("text"), F.col("plain"), ERROR_SIGNATURES).alias("error_pattern"))
         .where(F.col("error_pattern").isNotNull())
     )
 
@@ -56,7 +57,8 @@ def keyword_hits(posts: DataFrame) -> DataFrame:
     """One row per post and keyword found in its body."""
     return (
         posts.select("id", search_text(F.col("body")).alias("text"))
-        .select("id", label_each(F.col("text"), KEYWORDS).alias("keyword"))
+        .withColumn("plain", folded(F.col("text")))
+        .select("id", label_each(F.col("text"), F.col("plain"), KEYWORDS).alias("keyword"))
         .where(F.col("keyword").isNotNull())
     )
 

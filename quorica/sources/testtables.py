@@ -11,10 +11,10 @@ answer, user, comment or tag; texts are used whole. Departures from FIXTURES.md:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from functools import cached_property
 
-from quorica.sources.tables import ForumTables
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SNIPPETS = (
     "no sql here",
@@ -67,45 +67,54 @@ TAG_LIST = (
     "ms-access",
 )
 
+# Columns read from each test table.
+SCHEMAS = {
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+    "l_extendedprice double",
+    "part": "p_partkey long, p_name string",
+    "documents": "doc_id long, text string",
+    "customer": "c_custkey long, c_name string, c_acctbal double, c_mktsegment string",
+    "events": "event_id long, ts timestamp_ntz, user_id long, value double, props string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+}
+
 ANSWER_ID_BASE = 4_000_000_000_000_000_000
 
 
-def _pick(values: tuple[str, ...], index: Column) -> Column:
-    return F.get(F.array(*map(F.lit, values)), index.cast("int"))
+def _pick(values: tuple[str, ...], index: str) -> str:
+    quoted = ", ".join(f"'{value}'" for value in values)
+    return f"get(array({quoted}), cast({index} AS int))"
 
 
-def _tag_slot() -> Column:
-    return F.floor(F.sqrt(F.col("o_custkey") % 324))
+TAG_SLOT = "floor(sqrt(o_custkey % 324))"
 
 
-def _row_total(df: DataFrame) -> Column:
-    return df.agg(F.count(F.lit(1))).scalar()
+def _with_total(df: DataFrame, other: DataFrame) -> DataFrame:
+    """Add the row count of another table as column ``total``."""
+    return df.withColumn("total", other.agg(F.count(F.lit(1))).scalar())
 
 
 def _answers(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
-    order = F.col("l_orderkey")
-    cents = F.floor(F.col("l_extendedprice") * 100 + 0.5)
-    line = F.concat_ws("|", order, "l_linenumber", "l_partkey", "l_suppkey", cents)
-    digest = F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("long")
-    kept = (order * 7 + _tag_slot()) % 9 > 1
-    quantity = F.floor("l_quantity")
-    minutes = (F.col("l_linenumber") * F.col("l_linenumber") * quantity * 7).cast("int")
-    created = F.col("o_orderdate") + F.make_dt_interval(F.lit(0), F.lit(0), minutes)
-    joined = lineitem.join(orders.select("o_orderkey", "o_custkey", "o_orderdate"), order == F.col("o_orderkey"))
-    return joined.select(
-        (F.lit(ANSWER_ID_BASE) + digest).alias("id"),
-        F.when(kept, order).otherwise(order - order % 10 + 9).alias("parent_id"),
-        F.when(order % 89 != 0, F.col("l_suppkey")).alias("owner_user_id"),
-        created.alias("creation_date"),
-        created.alias("last_activity_date"),
-        F.when(order % 3 == 0, created).alias("last_edit_date"),
-        (quantity % 21 - 5).alias("score"),
-        F.col("l_linenumber").cast("long").alias("comment_count"),
-        F.concat(
-            F.lit("<pre><code>"),
-            _pick(SNIPPETS, (order * 5 + F.col("l_linenumber") * 3) % 27),
-            F.lit("</code></pre>"),
-        ).alias("body"),
+    cents = "floor(l_extendedprice * 100 + 0.5)"
+    line = f"concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, {cents})"
+    minutes = "cast(l_linenumber * l_linenumber * floor(l_quantity) * 7 AS int)"
+    return (
+        lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .withColumn("created", F.expr(f"o_orderdate + make_dt_interval(0, 0, {minutes})"))
+        .selectExpr(
+            f"{ANSWER_ID_BASE} + cast(conv(substring(md5({line}), 1, 15), 16, 10) AS bigint) AS id",
+            f"""CASE WHEN (l_orderkey * 7 + {TAG_SLOT}) % 9 > 1 THEN l_orderkey
+                ELSE l_orderkey - l_orderkey % 10 + 9 END AS parent_id""",
+            "CASE WHEN l_orderkey % 89 <> 0 THEN l_suppkey END AS owner_user_id",
+            "created AS creation_date",
+            "created AS last_activity_date",
+            "CASE WHEN l_orderkey % 3 = 0 THEN created END AS last_edit_date",
+            "floor(l_quantity) % 21 - 5 AS score",
+            "cast(l_linenumber AS bigint) AS comment_count",
+            f"""concat('<pre><code>', {_pick(SNIPPETS, "(l_orderkey * 5 + l_linenumber * 3) % 27")},
+                '</code></pre>') AS body""",
+        )
     )
 
 
@@ -117,100 +126,110 @@ def _answer_stats(answers: DataFrame) -> DataFrame:
 
 
 def _questions(orders: DataFrame, stats: DataFrame, part: DataFrame) -> DataFrame:
-    key, status = F.col("o_orderkey"), F.col("o_orderstatus")
-    price = F.floor("o_totalprice")
-    tags = F.concat_ws(
-        "|",
-        F.when(key % 2 == 0, F.lit("sql")),
-        _pick(TAG_LIST, _tag_slot()),
-        F.when(status == "F", F.lit("join")).when(status == "P", F.lit("group-by")),
-        F.when(key % 13 == 0, F.lit("nosql")),
-        F.when(key % 7 == 0, F.lit("")),
-    )
-    titled = orders.withColumn("title_key", key % _row_total(part)).join(
-        part.select("p_partkey", "p_name"), F.col("title_key") == F.col("p_partkey"), "left"
-    )
-    return titled.join(stats, key == F.col("parent_id"), "left").select(
-        key.alias("id"),
-        F.col("p_name").alias("title"),
-        F.when(key % 97 != 0, F.col("o_custkey")).alias("owner_user_id"),
-        F.col("o_orderdate").alias("creation_date"),
-        F.col("o_orderdate").alias("last_activity_date"),
-        (price % 41 - 10).alias("score"),
-        price.alias("view_count"),
-        F.coalesce("n_answers", F.lit(0)).alias("answer_count"),
-        (key % 5).alias("comment_count"),
-        F.when(key % 3 != 0, key % 9).alias("favorite_count"),
-        F.when(status == "F", F.col("lead_answer_id")).alias("accepted_answer_id"),
-        F.when(key % 10 == 9, F.lit("python|pandas")).otherwise(tags).alias("tags"),
+    titled = _with_total(orders, part).join(part, F.expr("o_orderkey % total = p_partkey"), "left")
+    return titled.join(stats, F.col("o_orderkey") == F.col("parent_id"), "left").selectExpr(
+        "o_orderkey AS id",
+        "p_name AS title",
+        "CASE WHEN o_orderkey % 97 <> 0 THEN o_custkey END AS owner_user_id",
+        "o_orderdate AS creation_date",
+        "o_orderdate AS last_activity_date",
+        "floor(o_totalprice) % 41 - 10 AS score",
+        "floor(o_totalprice) AS view_count",
+        "coalesce(n_answers, 0L) AS answer_count",
+        "o_orderkey % 5 AS comment_count",
+        "CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 9 END AS favorite_count",
+        "CASE WHEN o_orderstatus = 'F' THEN lead_answer_id END AS accepted_answer_id",
+        f"""CASE WHEN o_orderkey % 10 = 9 THEN 'python|pandas' ELSE concat_ws('|',
+            CASE WHEN o_orderkey % 2 = 0 THEN 'sql' END,
+            {_pick(TAG_LIST, TAG_SLOT)},
+            CASE o_orderstatus WHEN 'F' THEN 'join' WHEN 'P' THEN 'group-by' END,
+            CASE WHEN o_orderkey % 13 = 0 THEN 'nosql' END,
+            CASE WHEN o_orderkey % 7 = 0 THEN '' END) END AS tags""",
     )
 
 
 def _with_body(questions: DataFrame, documents: DataFrame) -> DataFrame:
-    key = F.col("id")
-    body = F.concat(
-        F.lit("<p>"),
-        F.col("text"),
-        F.lit("</p><pre><code>"),
-        _pick(SNIPPETS, key % 27),
-        F.lit("</code></pre>"),
-    )
     return (
-        questions.withColumn("body_key", key % _row_total(documents))
-        .join(documents.select("doc_id", "text"), F.col("body_key") == F.col("doc_id"), "left")
-        .select(*questions.columns, F.when(key % 101 != 0, body).alias("body"))
+        _with_total(questions, documents)
+        .join(documents, F.expr("id % total = doc_id"), "left")
+        .selectExpr(
+            *questions.columns,
+            f"""CASE WHEN id % 101 <> 0 THEN concat('<p>', text, '</p><pre><code>',
+                {_pick(SNIPPETS, "id % 27")}, '</code></pre>') END AS body""",
+        )
     )
 
 
 def _users(customer: DataFrame) -> DataFrame:
-    key = F.col("c_custkey")
-    joined = F.lit("2010-01-01 00:00:00").cast("timestamp_ntz")
-    return customer.select(
-        F.when(key % 50 == 7, -1 - key).otherwise(key).alias("id"),
-        F.col("c_name").alias("display_name"),
-        F.abs(F.floor(F.col("c_acctbal") * 5)).alias("reputation"),
-        F.when(key % 10 == 0, F.lit("31")).when(key % 10 == 1, F.lit("n/a")).alias("age"),
-        F.col("c_mktsegment").alias("location"),
-        (key % 7).alias("up_votes"),
-        (key % 3).alias("down_votes"),
-        (key % 11).alias("views"),
-        (joined + F.make_dt_interval((key % 2000).cast("int"))).alias("creation_date"),
-        (joined + F.make_dt_interval((key % 3000 + 2000).cast("int"))).alias("last_access_date"),
-        F.when(key % 4 == 0, F.concat(F.lit("https://example.org/"), key)).alias("website_url"),
+    return customer.selectExpr(
+        "CASE WHEN c_custkey % 50 = 7 THEN -1 - c_custkey ELSE c_custkey END AS id",
+        "c_name AS display_name",
+        "abs(floor(c_acctbal * 5)) AS reputation",
+        "CASE c_custkey % 10 WHEN 0 THEN '31' WHEN 1 THEN 'n/a' END AS age",
+        "c_mktsegment AS location",
+        "c_custkey % 7 AS up_votes",
+        "c_custkey % 3 AS down_votes",
+        "c_custkey % 11 AS views",
+        "timestamp_ntz '2010-01-01 00:00:00' + make_dt_interval(cast(c_custkey % 2000 AS int)) AS creation_date",
+        "timestamp_ntz '2010-01-01 00:00:00' + make_dt_interval(cast(c_custkey % 3000 + 2000 AS int)) AS last_access_date",
+        "CASE WHEN c_custkey % 4 = 0 THEN concat('https://example.org/', c_custkey) END AS website_url",
     )
 
 
 def _comments(events: DataFrame, orders: DataFrame, stats: DataFrame) -> DataFrame:
-    event = F.col("event_id")
-    keyed = events.withColumn("question_key", (event * 7) % _row_total(orders))
-    target = F.when(event % 2 == 0, F.col("question_key")).otherwise(F.col("lead_answer_id"))
-    return keyed.join(stats, F.col("question_key") == F.col("parent_id"), "left").select(
-        event.alias("id"),
-        target.alias("post_id"),
-        F.col("user_id"),
-        (F.floor("value") % 5).alias("score"),
-        F.col("ts").alias("creation_date"),
-        F.col("props").alias("text"),
+    keyed = _with_total(events, orders).withColumn("question_key", F.expr("(event_id * 7) % total"))
+    return keyed.join(stats, F.col("question_key") == F.col("parent_id"), "left").selectExpr(
+        "event_id AS id",
+        "CASE WHEN event_id % 2 = 0 THEN question_key ELSE lead_answer_id END AS post_id",
+        "user_id",
+        "floor(value) % 5 AS score",
+        "ts AS creation_date",
+        "props AS text",
     )
 
 
-def forum_from_test_tables(spark: SparkSession, sf_dir: str) -> ForumTables:
-    def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-    orders = table("orders")
-    answers = _answers(table("lineitem"), orders)
-    stats = _answer_stats(answers)
-    slim = _questions(orders, stats, table("part"))
-    return ForumTables(
-        questions=_with_body(slim, table("documents")),
-        answers=answers,
-        users=_users(table("customer")),
-        comments=_comments(table("events"), orders, stats),
-        tags=table("nation").select(
-            F.col("n_nationkey").cast("long").alias("id"),
-            F.col("n_name").alias("tag_name"),
-            (F.col("n_regionkey") * 1000).cast("long").alias("count"),
-        ),
-        slim_questions=slim,
+def _tags(nation: DataFrame) -> DataFrame:
+    return nation.selectExpr(
+        "cast(n_nationkey AS bigint) AS id",
+        "n_name AS tag_name",
+        "cast(n_regionkey * 1000 AS bigint) AS count",
     )
+
+
+class TestTableForum:
+    """The raw forum tables over one folder of test tables, each built on first use."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark = spark
+        self.sf_dir = sf_dir
+
+    def _table(self, name: str) -> DataFrame:
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.sf_dir}/{name}.parquet")
+
+    @cached_property
+    def answers(self) -> DataFrame:
+        return _answers(self._table("lineitem"), self._table("orders"))
+
+    @cached_property
+    def _stats(self) -> DataFrame:
+        return _answer_stats(self.answers)
+
+    @cached_property
+    def slim_questions(self) -> DataFrame:
+        return _questions(self._table("orders"), self._stats, self._table("part"))
+
+    @cached_property
+    def questions(self) -> DataFrame:
+        return _with_body(self.slim_questions, self._table("documents"))
+
+    @cached_property
+    def users(self) -> DataFrame:
+        return _users(self._table("customer"))
+
+    @cached_property
+    def comments(self) -> DataFrame:
+        return _comments(self._table("events"), self._table("orders"), self._stats)
+
+    @cached_property
+    def tags(self) -> DataFrame:
+        return _tags(self._table("nation"))
