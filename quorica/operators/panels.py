@@ -25,9 +25,22 @@ def in_years(years: Years) -> Column:
     return F.col("creation_year").isin(*years)
 
 
+def questions_of_years(questions: DataFrame, years: Years) -> DataFrame:
+    """Questions of the given years.
+
+    A stored mart is partitioned by month; the same bound on that column lets
+    Spark skip the folders of other years.
+    """
+    rows = questions.where(in_years(years))
+    if "creation_month" in questions.columns:
+        first, last = (F.make_date(F.lit(y), F.lit(m), F.lit(1)) for y, m in ((min(years), 1), (max(years), 12)))
+        rows = rows.where(F.col("creation_month").between(first, last))
+    return rows
+
+
 def kpis(questions: DataFrame, years: Years) -> DataFrame:
     """Headline figures; a question counts once however many tags it has."""
-    return questions.where(in_years(years)).agg(
+    return questions_of_years(questions, years).agg(
         row_count().alias("total_questions"),
         share(F.col("is_answered")).alias("pct_answered"),
         share(F.col("has_accepted_answer")).alias("pct_accepted"),
@@ -54,7 +67,7 @@ def top_n_tag_trend(facts: DataFrame, years: Years, n: int = 10) -> DataFrame:
 
 def monthly_volume(questions: DataFrame, years: Years) -> DataFrame:
     return (
-        questions.where(in_years(years))
+        questions_of_years(questions, years)
         .groupBy(month_of(F.col("creation_date")).alias("month"))
         .agg(row_count().alias("num_questions"), share(F.col("has_accepted_answer")).alias("pct_accepted"))
         .orderBy("month")
@@ -107,7 +120,8 @@ def time_to_answer_tiers(questions: DataFrame, years: Years) -> DataFrame:
     """Answered questions by time to the first answer; an early answer counts as under an hour."""
     hours = F.col("hours_to_first_answer")
     return (
-        questions.where(F.col("is_answered") & hours.isNotNull() & in_years(years))
+        questions_of_years(questions, years)
+        .where(F.col("is_answered") & hours.isNotNull())
         .groupBy(first_below(hours, ANSWER_TIME_TIERS, LAST_ANSWER_TIME_TIER).alias("tier"))
         .agg(row_count().alias("num_questions"))
         .withColumn("label", F.substring("tier", 4, 64))

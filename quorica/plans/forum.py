@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import cached_property
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
+from functools import cached_property, partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quorica.operators import marts, selection, staging, textmining
 from quorica.sources import sinks
@@ -29,86 +31,99 @@ class Scope:
     cohort: int = 15
 
 
+class layer(cached_property):
+    """A layer of the forum: read where a stored table replaces it, else built; once in either case."""
+
+    def __init__(self, build: Callable[[Forum], DataFrame]):
+        def get(forum: Forum) -> DataFrame:
+            read = forum.stored.get(build.__name__)
+            return read() if read else build(forum)
+
+        super().__init__(get)
+
+
 class Forum:
-    """Layers of one forum. ``stored`` replaces layers by tables already written."""
+    """Layers of one forum. ``stored`` gives readers for layers already written."""
 
-    def __init__(self, raw: ForumTables | None, scope: Scope, stored: dict[str, DataFrame] | None = None):
+    def __init__(
+        self, raw: ForumTables | None, scope: Scope, stored: dict[str, Callable[[], DataFrame]] | None = None
+    ):
         self.raw = raw
         self.scope = scope
-        self.__dict__.update(stored or {})
+        self.stored = stored or {}
 
     def _in_scope(self, questions: DataFrame) -> DataFrame:
         s = self.scope
         return selection.select_questions(questions, s.start, s.end, s.topic)
 
-    @cached_property
+    @layer
     def questions(self) -> DataFrame:
         return self._in_scope(self.raw.questions)
 
-    @cached_property
+    @layer
     def slim_questions(self) -> DataFrame:
         """Selected questions without the body."""
-        if "questions" in self.__dict__:
+        if "questions" in self.stored:
             return self.questions.drop("body")
         return self._in_scope(self.raw.slim_questions)
 
-    @cached_property
+    @layer
     def answers(self) -> DataFrame:
         return selection.select_answers(self.raw.answers, self.slim_questions)
 
-    @cached_property
+    @layer
     def users(self) -> DataFrame:
         return selection.select_users(self.raw.users, self.slim_questions, self.answers)
 
-    @cached_property
+    @layer
     def comments(self) -> DataFrame:
         return selection.select_comments(self.raw.comments, self.slim_questions, self.answers)
 
-    @cached_property
+    @layer
     def tags(self) -> DataFrame:
         return selection.select_tags(self.raw.tags)
 
-    @cached_property
+    @layer
     def stg_questions(self) -> DataFrame:
         return staging.stg_questions(self.slim_questions)
 
-    @cached_property
+    @layer
     def stg_answers(self) -> DataFrame:
         return staging.stg_answers(self.answers)
 
-    @cached_property
+    @layer
     def stg_users(self) -> DataFrame:
         return staging.stg_users(self.users)
 
-    @cached_property
+    @layer
     def stg_comments(self) -> DataFrame:
         return staging.stg_comments(self.comments)
 
-    @cached_property
+    @layer
     def stg_tags(self) -> DataFrame:
         return staging.stg_tags(self.tags)
 
-    @cached_property
+    @layer
     def dim_questions(self) -> DataFrame:
         return marts.dim_questions(self.stg_questions, self.stg_users, self.stg_answers)
 
-    @cached_property
+    @layer
     def fct_tag_yearly(self) -> DataFrame:
         return marts.fct_tag_yearly(self.dim_questions)
 
-    @cached_property
+    @layer
     def dialects(self) -> DataFrame:
         return marts.dialect_mart(self.dim_questions)
 
-    @cached_property
+    @layer
     def complexity(self) -> DataFrame:
         return marts.complexity_mart(self.dim_questions, self.questions)
 
-    @cached_property
+    @layer
     def error_patterns(self) -> DataFrame:
         return textmining.error_patterns(self.questions)
 
-    @cached_property
+    @layer
     def keyword_frequency(self) -> DataFrame:
         return textmining.keyword_frequency(self.questions, self.answers, self.slim_questions)
 
@@ -131,21 +146,24 @@ class Forum:
 
 @dataclass(frozen=True)
 class Layout:
-    """How a layer is stored: optional partition column, its grain, and sort keys."""
+    """How a layer is stored: grain of its date partitions, if any, and sort keys."""
 
-    partition: str | None = None
-    grain: str = "day"
+    grain: str | None = None
     cluster: tuple[str, ...] = ()
 
+    @property
+    def partition(self) -> str:
+        return f"creation_{self.grain}"
+
 
 # In build order: each layer is computed from the written ones before it.
 LAYOUTS = {
-    "questions": Layout("creation_day", "day", ("owner_user_id", "id")),
-    "answers": Layout("creation_day", "day", ("owner_user_id", "id")),
+    "questions": Layout("day", ("owner_user_id", "id")),
+    "answers": Layout("day", ("owner_user_id", "id")),
     "users": Layout(),
-    "comments": Layout("creation_day", "day", ("post_id", "id")),
+    "comments": Layout("day", ("post_id", "id")),
     "tags": Layout(),
-    "dim_questions": Layout("creation_month", "month", ("owner_user_id", "question_id")),
+    "dim_questions": Layout("month", ("owner_user_id", "question_id")),
     "fct_tag_yearly": Layout(),
     "dialects": Layout(),
     "complexity": Layout(),
@@ -155,35 +173,39 @@ LAYOUTS = {
 CORPUS = ("questions", "answers", "users", "comments", "tags")
 
 
-def write_layer(df: DataFrame, root: str, name: str) -> None:
-    layout = LAYOUTS[name]
-    path = f"{root}/{name}"
-    if layout.partition:
+def coarser(grain: str) -> dict[str, Layout]:
+    """The layouts with another grain for the corpus, for volumes too small for day folders."""
+    return {n: replace(layout, grain=grain) if layout.grain else layout for n, layout in LAYOUTS.items()}
+
+
+def write_layer(df: DataFrame, path: str, layout: Layout) -> None:
+    if layout.grain:
         sinks.write_by_date(df, path, layout.partition, layout.grain, layout.cluster)
     else:
         sinks.overwrite(df, path)
 
 
-def publish(forum: Forum, spark: SparkSession, root: str, layers=tuple(LAYOUTS)) -> Forum:
-    """Write the layers in order, each computed from the tables before it.
+def read_layer(spark: SparkSession, root: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/{name}")
 
-    Running it again replaces every table. The result reads all it has written.
-    """
-    stored: dict[str, DataFrame] = {}
-    for name in layers:
-        step = Forum(forum.raw, forum.scope, stored)
-        write_layer(getattr(step, name), root, name)
-        stored[name] = read_layer(spark, root, name)
-    return Forum(forum.raw, forum.scope, stored)
 
+def publish(
+    raw: ForumTables, scope: Scope, spark: SparkSession, root: str, layouts: dict[str, Layout] = LAYOUTS
+) -> Iterator[str]:
+    """Write the layers in order, each computed from the tables before it; yields each name when done.
 
-def read_layer(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name}")
+    Running it again replaces every table.
+    """
+    stored: dict[str, Callable[[], DataFrame]] = {}
+    for name, layout in layouts.items():
+        write_layer(getattr(Forum(raw, scope, stored), name), f"{root}/{name}", layout)
+        stored[name] = partial(read_layer, spark, root, name)
+        yield name
 
 
 def open_published(spark: SparkSession, root: str, scope: Scope) -> Forum:
     """A forum whose layers are the tables under ``root``."""
-    return Forum(None, scope, {name: read_layer(spark, root, name) for name in LAYOUTS})
+    return Forum(None, scope, {name: partial(read_layer, spark, root, name) for name in LAYOUTS})
 
 
 def register(forum: Forum) -> None:
@@ -195,10 +217,6 @@ def register(forum: Forum) -> None:
 
 def corpus_row_counts(forum: Forum) -> DataFrame:
     """Rows of each selected table, in selection order."""
-    from functools import reduce
-
-    from pyspark.sql import functions as F
-
     counts = [
         layer.agg(F.count(F.lit(1)).alias("n_rows")).select(
             F.lit(step).alias("step"), F.lit(name).alias("table_name"), "n_rows"

@@ -30,15 +30,15 @@ def write_by_date(
 ) -> None:
     """Partition by day or month of the timestamp, and sort by the cluster keys.
 
-    The range shuffle covers bucket and cluster keys together: a day with a
-    third of all rows, or one busy author in it, spreads over many tasks, and
-    each file holds a narrow key range that row-group statistics can prune.
+    The rebalance is one shuffle by bucket in which adaptive execution splits a
+    bucket that is too large for one task, such as a day with a third of all
+    rows, and packs small ones together. Inside each file the cluster order
+    lets row-group statistics prune.
     """
-    keys = [partition, *cluster]
     (
         df.withColumn(partition, date_bucket(F.col(timestamp), grain))
-        .repartitionByRange(*keys)
-        .sortWithinPartitions(*keys)
+        .hint("rebalance", F.col(partition))
+        .sortWithinPartitions(partition, *cluster)
         .write.mode("overwrite")
         .partitionBy(partition)
         .parquet(path)
