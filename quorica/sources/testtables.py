@@ -196,7 +196,7 @@ def _tags(nation: DataFrame) -> DataFrame:
     )
 
 
-class TestTableForum:
+class DerivedForum:
     """The raw forum tables over one folder of test tables, each built on first use."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
