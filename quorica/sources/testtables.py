@@ -1,8 +1,9 @@
 """A forum derived from the test tables (see FIXTURES.md).
 
 Every row of orders, lineitem, customer, events and nation becomes one question,
-answer, user, comment or tag; texts are used whole. Departures from FIXTURES.md:
+answer, user, comment or tag. Departures from FIXTURES.md:
 
+* a body holds the whole document, not its first 400 characters;
 * an answer's id is a digest of its line instead of a rank within the order, so
   no window has to hold all lines of one order;
 * answers that leave their question unanswered move to an out-of-scope question

@@ -31,7 +31,7 @@ def hot_rows():
     start = datetime(2021, 1, 1)
     questions = [
         {"id": i, "owner_user_id": 1 if i % 3 == 0 else (None if i % 3 == 1 else i), "tags": "sql|hot" if i % 2 else "sql",
-         "creation_date": start + timedelta(days=0 if i % 3 == 0 else i % 300), "score": i % 9, "view_count": i,
+         "creation_date": start + timedelta(days=0 if i % 3 == 0 else i % 40), "score": i % 9, "view_count": i,
          "answer_count": i % 3, "body": "x"}
         for i in range(600)
     ]
