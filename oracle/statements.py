@@ -41,10 +41,15 @@ def _even(total: str, parts: str) -> str:
     return f"({down} + case when 2 * ({rest}) > ({parts}) or (2 * ({rest}) = ({parts}) and {down} % 2 <> 0) then 1 else 0 end)"
 
 
-def _tier(x: str, bounds, inclusive_label=None) -> str:
-    cases = [f"when {x} is null then 'Undefined'", f"when {x} < {bounds[0]} then 'Below {bounds[0]}'"]
-    cases += [f"when {x} < {hi} then '{lo} to {hi - 1}'" for lo, hi in zip(bounds, bounds[1:])]
-    return f"case {' '.join(cases)} else '{bounds[-1]} or Above' end"
+def _steps(x: str, compare: str, cuts, last: str) -> str:
+    whens = " ".join(f"WHEN {x} {compare} {bound} THEN {_text(label)}" for bound, label in cuts)
+    return f"CASE {whens} ELSE {_text(last)} END"
+
+
+def _tier(x: str, bounds) -> str:
+    cuts = [(bounds[0], f"Below {bounds[0]}")]
+    cuts += [(high, f"{low} to {high - 1}") for low, high in zip(bounds, bounds[1:])]
+    return f"CASE WHEN {x} IS NULL THEN 'Undefined' ELSE {_steps(x, '<', cuts, f'{bounds[-1]} or Above')} END"
 
 
 BASE = f"""
@@ -205,9 +210,7 @@ flags AS (SELECT question_id, {', '.join(map(_flag_sql, cat.FEATURES))} FROM bod
 scored AS (SELECT *, {' + '.join(f'{f.flag} * {f.weight}' for f in cat.FEATURES)} AS complexity_score FROM flags),
 complexity AS (
   SELECT {_FACTS}, complexity_score,
-    CASE WHEN complexity_score <= 0 THEN '0 · No SQL detected' WHEN complexity_score <= 3 THEN '1 · Trivial'
-      WHEN complexity_score <= 8 THEN '2 · Basic' WHEN complexity_score <= 14 THEN '3 · Intermediate'
-      WHEN complexity_score <= 22 THEN '4 · Advanced' ELSE '5 · Expert' END AS complexity_tier, {_FLAGS}
+    {_steps('complexity_score', '<=', cat.COMPLEXITY_TIERS, cat.TOP_COMPLEXITY_TIER)} AS complexity_tier, {_FLAGS}
   FROM dim_questions JOIN scored USING (question_id)
 )"""
 
@@ -240,6 +243,12 @@ rates AS (
 )"""
 
 _CX = COMPLEXITY
+
+
+def _in_year(year: int) -> str:
+    return f"cast(coalesce(sum(num_questions) FILTER (WHERE creation_year = {year}), 0) AS bigint)"
+
+
 _PRACTICE = ", ".join(cat.PRACTICE_LABELS)
 _LEVEL = {f.flag: f.level for f in cat.FEATURES}
 
@@ -254,9 +263,7 @@ def _even_mean(column: str, digits: int) -> str:
     return f"{_even(total, parts)} / {10.0 ** digits} AS {column}"
 
 
-_HOURS = """CASE WHEN hours_to_first_answer < 1 THEN '1. < 1 hour' WHEN hours_to_first_answer < 6 THEN '2. 1–6 hours'
-  WHEN hours_to_first_answer < 24 THEN '3. 6–24 hours' WHEN hours_to_first_answer < 72 THEN '4. 1–3 days'
-  WHEN hours_to_first_answer < 168 THEN '5. 3–7 days' ELSE '6. > 7 days' END"""
+_HOURS = _steps("hours_to_first_answer", "<", cat.ANSWER_TIME_TIERS, cat.LAST_ANSWER_TIME_TIER)
 
 _QUESTION_COLUMNS = """title, owner_user_id, creation_date, last_activity_date, score, view_count, answer_count,
   comment_count, favorite_count, accepted_answer_id"""
@@ -356,7 +363,7 @@ def _practice(tail: str) -> str:
 _BODIES: dict[str, str] = {
     # sources
     "select_questions": "SELECT * FROM raw_questions",
-    "select_questions_strict": "SELECT * FROM raw_questions WHERE NOT regexp_matches(tags, '(^|\\|)nosql(\\||$)')",
+    "select_questions_strict": "SELECT * FROM raw_questions WHERE NOT list_contains(string_split(tags, '|'), 'nosql')",
     "select_answers": "SELECT * FROM raw_answers",
     "select_users": "SELECT * FROM raw_users",
     "select_comments": "SELECT * FROM raw_comments",
@@ -379,36 +386,34 @@ _BODIES: dict[str, str] = {
     "dialect_mart": DIALECTS + "SELECT * FROM dialects",
     "complexity_mart": _CX + "SELECT * FROM complexity",
     # analyses
-    "top_tags_by_volume": """, totals AS (
+    "top_tags_by_volume": f""", volumes AS (
         SELECT tag, cast(sum(num_questions) AS bigint) AS total_questions, cast(sum(total_views) AS bigint) AS total_views,
-          cast(sum(if(creation_year = 1997, num_questions, 0)) AS bigint) AS q_1997,
-          cast(sum(if(creation_year = 1998, num_questions, 0)) AS bigint) AS q_1998,
-          cast(sum(if(creation_year = 1999, num_questions, 0)) AS bigint) AS q_1999
-        FROM fct WHERE creation_year BETWEEN 1997 AND 1999 GROUP BY tag)
-      SELECT rank() OVER (ORDER BY total_questions DESC) AS rank, *, q_1999 - q_1997 AS delta_1997_1999
-      FROM totals ORDER BY total_questions DESC, tag LIMIT 20""",
-    "tag_yoy_growth": f""", base AS (SELECT * FROM fct WHERE creation_year BETWEEN 1997 AND 1999),
-      lagged AS (
-        SELECT *, lag(num_questions) OVER (PARTITION BY tag ORDER BY creation_year) AS prev_year_questions FROM base
-        WHERE tag IN (SELECT tag FROM base WHERE num_questions >= 50 GROUP BY tag HAVING count(*) >= 2))
+          {", ".join(f"{_in_year(y)} AS q_{y}" for y in (1997, 1998, 1999))}
+        FROM fct WHERE creation_year IN {YEARS} GROUP BY tag)
+      SELECT (SELECT count(*) FROM volumes w WHERE w.total_questions > v.total_questions) + 1 AS rank, *,
+        q_1999 - q_1997 AS delta_1997_1999
+      FROM volumes v ORDER BY total_questions DESC, tag LIMIT 20""",
+    "tag_yoy_growth": f""", series AS (
+        SELECT f.*, (SELECT arg_max(p.num_questions, p.creation_year) FROM fct p
+            WHERE p.tag = f.tag AND p.creation_year IN {YEARS} AND p.creation_year < f.creation_year) AS prev_year_questions,
+          (SELECT count(*) FROM fct p
+            WHERE p.tag = f.tag AND p.creation_year IN {YEARS} AND p.num_questions >= 50) AS big_years
+        FROM fct f WHERE creation_year IN {YEARS})
       SELECT tag, creation_year, num_questions, prev_year_questions,
         {_ratio('(num_questions - prev_year_questions)', 'prev_year_questions')} AS yoy_growth_rate,
-        pct_answered, avg_score FROM lagged""",
-    "rising_falling_tags": PAIR + """, ranked AS (
-        SELECT *, row_number() OVER (ORDER BY growth_rate DESC, tag) AS riser_rank,
-          row_number() OVER (ORDER BY growth_rate, tag DESC) AS faller_rank FROM pair)
-      SELECT CASE WHEN riser_rank <= 5 THEN 'rising' ELSE 'falling' END AS direction,
-        coalesce(nullif(cast(riser_rank AS varchar), ''), cast(faller_rank AS varchar)) AS rank_within_group,
-        CASE WHEN riser_rank <= 5 THEN riser_rank ELSE faller_rank END AS rank_in_direction,
+        pct_answered, avg_score FROM series WHERE big_years >= 2""",
+    "rising_falling_tags": PAIR + """, placed AS (
+        SELECT *, row_number() OVER (ORDER BY growth_rate DESC, tag) AS up, count(*) OVER () AS n FROM pair)
+      SELECT if(up <= 5, 'rising', 'falling') AS direction, cast(up AS varchar) AS rank_within_group,
+        if(up <= 5, up, n + 1 - up) AS rank_in_direction,
         tag, q_1997, q_1999, abs_change, growth_rate, pct_answered_1997, pct_answered_1999
-      FROM ranked WHERE riser_rank <= 5 OR faller_rank <= 5""",
-    "answer_rate_by_tag": RATES + """, ranked AS (
+      FROM placed WHERE up <= 5 OR up > n - 5""",
+    "answer_rate_by_tag": RATES + """, placed AS (
         SELECT *, row_number() OVER (ORDER BY pct_answered DESC, tag) AS best_answered_rank,
-          row_number() OVER (ORDER BY pct_answered, tag DESC) AS worst_answered_rank,
-          row_number() OVER (ORDER BY pct_accepted DESC, tag) AS best_accepted_rank FROM rates)
-      SELECT CASE WHEN best_answered_rank <= 5 THEN 'highest answer rate'
-          WHEN worst_answered_rank <= 5 THEN 'lowest answer rate' END AS cohort, *
-      FROM ranked WHERE best_answered_rank <= 5 OR worst_answered_rank <= 5""",
+          row_number() OVER (ORDER BY pct_accepted DESC, tag) AS best_accepted_rank, count(*) OVER () AS n FROM rates)
+      SELECT * EXCLUDE (n), n + 1 - best_answered_rank AS worst_answered_rank,
+        if(best_answered_rank <= 5, 'highest', 'lowest') || ' answer rate' AS cohort
+      FROM placed WHERE best_answered_rank <= 5 OR best_answered_rank > n - 5""",
     "error_patterns": ERRORS + f"""SELECT label AS error_pattern, count(*) AS num_questions,
         {_round('avg(score)', 2)} AS avg_score, cast(sum(score) AS bigint) AS total_upvotes,
         cast(sum(view_count) AS bigint) AS total_views, {_share('answer_count > 0')} AS pct_answered,
