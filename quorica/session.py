@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -25,6 +26,16 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors see; a local one only where none is named."""
+    """Folder all executors see, from `spark.checkpoint.dir`.
+
+    Where none is named, a master in this process gets a fresh local folder; on a cluster that
+    folder would differ between machines, so the missing setting is an error there.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or tempfile.mkdtemp(prefix="run-")
+    if named:
+        return named
+    if not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    made = tempfile.mkdtemp(prefix="run-")
+    spark.conf.set("spark.checkpoint.dir", made)
+    return made
