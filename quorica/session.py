@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+_local_dirs: dict[str, str] = {}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session."""
@@ -36,6 +38,4 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="run-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return _local_dirs.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="run-"))
