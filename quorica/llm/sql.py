@@ -46,4 +46,170 @@ found AS (
 SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM found
 """
 
-STATEMENTS: dict[str, str] = {"op7_minhash_near_dedup": OP7}
+RATES = (
+    ("symbol_rate", "1000 * n_symbols // n_words", 200, False),
+    ("dup_line_rate", "1000 * n_dup_lines // n_words", 50, False),
+    ("repeat_rate", "1000 * n_repeat_words // n_words", 100, False),
+    ("word_length", "100 * word_chars // n_words", 150, True),
+)
+_LOW = " ".join(
+    f"WHEN '{n}' THEN q50 - 4 * (q50 - q25) - {slack}" if both else f"WHEN '{n}' THEN NULL" for n, _, slack, both in RATES
+)
+_SLACK = " ".join(f"WHEN '{n}' THEN {slack}" for n, _, slack, _ in RATES)
+_RATE_ROWS = " UNION ALL ".join(
+    f"SELECT lang, source, '{n}' AS rate, {e} AS value FROM measured WHERE NOT base_failed" for n, e, _, _ in RATES
+)
+_RATE_COLUMNS = ", ".join(f"CASE WHEN n_words > 0 THEN {e} END AS {n}" for n, e, _, _ in RATES)
+
+# Expects a relation `docs` (doc_id, text, lang, source); gives `judged` with doc_id, the statistics and kept.
+QUALITY_CTES = f"""
+q_words AS (
+    SELECT doc_id, lang, source, coalesce(text, '') AS text,
+           regexp_extract_all(coalesce(text, ''), '{WORD}') AS w
+    FROM docs
+),
+q_windows AS (
+    SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS s
+    FROM q_words, unnest(range(1, len(w) - 6)) AS place(i)
+),
+q_repeated AS (
+    SELECT doc_id, i FROM q_windows QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1
+),
+q_marked AS (
+    SELECT doc_id, count(DISTINCT i + k) AS n FROM q_repeated, range(0, 8) AS step(k) GROUP BY doc_id
+),
+q_lines AS (
+    SELECT doc_id, count(*) - count(DISTINCT line) AS n
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM q_words)
+    WHERE regexp_matches(line, '{WORD}')
+    GROUP BY doc_id
+),
+counted AS (
+    SELECT q_words.doc_id, lang, source, len(w) AS n_words,
+           length(array_to_string(w, '')) AS word_chars,
+           length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
+           coalesce(q_lines.n, 0) AS n_dup_lines,
+           coalesce(q_marked.n, 0) AS n_repeat_words
+    FROM q_words
+    LEFT JOIN q_lines ON q_lines.doc_id = q_words.doc_id
+    LEFT JOIN q_marked ON q_marked.doc_id = q_words.doc_id
+),
+measured AS (
+    SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted
+),
+rate_rows AS ({_RATE_ROWS}),
+leaf_sketches AS (
+    SELECT lang, source, rate,
+           (value >> greatest(length(bin(value)) - 6, 0)) << greatest(length(bin(value)) - 6, 0) AS value,
+           count(*) AS n
+    FROM rate_rows GROUP BY ALL
+),
+level_sketches AS (
+    SELECT 0 AS level, NULL AS lang, NULL AS source, rate, value, n FROM leaf_sketches
+    UNION ALL SELECT 1, lang, NULL, rate, value, n FROM leaf_sketches
+    UNION ALL SELECT 2, lang, source, rate, value, n FROM leaf_sketches
+),
+merged AS (SELECT level, lang, source, rate, value, sum(n) AS n FROM level_sketches GROUP BY ALL),
+ranked AS (
+    SELECT *,
+           sum(n) OVER (PARTITION BY level, lang, source, rate ORDER BY value) AS upto,
+           sum(n) OVER (PARTITION BY level, lang, source, rate) AS total
+    FROM merged
+),
+quantiles AS (
+    SELECT level, lang, source, rate, any_value(total) AS total,
+           min(CASE WHEN 100 * upto >= 25 * total THEN value END) AS q25,
+           min(CASE WHEN 100 * upto >= 50 * total THEN value END) AS q50,
+           min(CASE WHEN 100 * upto >= 75 * total THEN value END) AS q75
+    FROM ranked GROUP BY level, lang, source, rate
+),
+bounds AS (
+    SELECT level, lang, source, rate,
+           CASE rate {_LOW} END AS low,
+           q50 + 4 * (q75 - q50) + CASE rate {_SLACK} END AS high
+    FROM quantiles WHERE total >= 200 OR level = 0
+),
+leaf_bounds AS (
+    SELECT leaf.lang, leaf.source, bounds.rate,
+           arg_max(coalesce(low, -1000000), level) AS low, arg_max(high, level) AS high
+    FROM (SELECT DISTINCT lang, source FROM leaf_sketches) AS leaf
+    JOIN bounds ON level = 0
+        OR (level = 1 AND bounds.lang IS NOT DISTINCT FROM leaf.lang)
+        OR (level = 2 AND bounds.lang IS NOT DISTINCT FROM leaf.lang AND bounds.source IS NOT DISTINCT FROM leaf.source)
+    GROUP BY ALL
+),
+doc_rates AS (
+    UNPIVOT (SELECT doc_id, lang, source, {_RATE_COLUMNS} FROM measured WHERE NOT base_failed)
+    ON {", ".join(n for n, *_ in RATES)} INTO NAME rate VALUE value
+),
+good AS (
+    SELECT doc_id FROM doc_rates
+    JOIN leaf_bounds ON leaf_bounds.rate = doc_rates.rate
+        AND leaf_bounds.lang IS NOT DISTINCT FROM doc_rates.lang
+        AND leaf_bounds.source IS NOT DISTINCT FROM doc_rates.source
+    GROUP BY doc_id HAVING bool_and(value BETWEEN low AND high)
+),
+judged AS (
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           doc_id IN (SELECT doc_id FROM good) AS kept
+    FROM measured
+)"""
+
+OP3 = f"""
+WITH docs AS (SELECT doc_id, text, lang, source FROM documents), {QUALITY_CTES}
+SELECT * FROM judged
+"""
+
+# Expects a relation `docs` (doc_id, text, source); gives `copied` with doc_id, size, source_size, target, copies.
+MIX_CTES = f"""
+m_sized AS (
+    SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size FROM docs
+),
+m_sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM m_sized GROUP BY source),
+m_caps AS (
+    SELECT source, source_size, 2 * source_size AS cap,
+           CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight
+    FROM m_sources
+),
+m_levels AS (
+    SELECT *, cap::DOUBLE / weight AS ratio,
+           row_number() OVER by_ratio AS place,
+           (sum(source_size) OVER ()::DOUBLE * 1.5
+               - coalesce(sum(cap) OVER (by_ratio ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+               / (sum(weight) OVER (by_ratio ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
+    FROM m_caps WINDOW by_ratio AS (ORDER BY cap::DOUBLE / weight, source NULLS LAST)
+),
+m_first AS (SELECT min(place) AS place, arg_min(level, place) AS level FROM m_levels WHERE level < ratio),
+m_targets AS (
+    SELECT source, source_size,
+           CASE WHEN m_first.place IS NULL OR m_levels.place < m_first.place THEN cap::DOUBLE
+                ELSE m_first.level * weight END AS target
+    FROM m_levels CROSS JOIN m_first
+),
+m_needs AS (
+    SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size::DOUBLE) ELSE 0 END AS whole FROM m_targets
+),
+m_placed AS (
+    SELECT doc_id, size, source_size, target, whole,
+           target - whole * source_size::DOUBLE AS need,
+           coalesce(sum(size) OVER (
+               PARTITION BY m_sized.source ORDER BY md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), md5(coalesce(text, ''))
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    FROM m_sized JOIN m_needs ON m_sized.source IS NOT DISTINCT FROM m_needs.source
+),
+copied AS (
+    SELECT doc_id, size, source_size, target,
+           whole::BIGINT + CASE WHEN need > 0 AND before + size / 2.0 <= need THEN 1 ELSE 0 END AS copies
+    FROM m_placed
+)"""
+
+OP9 = f"""
+WITH docs AS (SELECT doc_id, text, source FROM documents), {MIX_CTES}
+SELECT doc_id, size, source_size, target, size * copies AS taken FROM copied
+"""
+
+STATEMENTS: dict[str, str] = {
+    "op3_quality_rules": OP3,
+    "op7_minhash_near_dedup": OP7,
+    "op9_source_mixing": OP9,
+}
