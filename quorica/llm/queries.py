@@ -4,27 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quorica.llm import minhash, mixing, quality_rules
+from quorica.llm import bpe, minhash, mixing, pii, quality_rules
 from quorica.llm.common import read_table
 
+TOKEN_RANKS = "byte_bpe_50k.tiktoken"
+
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(read_table(spark, sf_dir, "documents"))
 
 
+def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return bpe.round_trip_report(docs, bpe.Vocabulary.load(public_tokenizers.path(TOKEN_RANKS), public_tokenizers.PATTERN))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return minhash.near_duplicates(docs, width=2).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(read_table(spark, sf_dir, "documents"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
+    "op6_byte_level_bpe": op6_byte_level_bpe,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_pii": op8_pii,
     "op9_source_mixing": op9_source_mixing,
 }
