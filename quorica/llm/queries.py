@@ -7,16 +7,38 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quorica.llm import bpe, minhash, mixing, pii, quality_rules
+from quorica.llm import (
+    bpe,
+    language_id,
+    minhash,
+    mixing,
+    pii,
+    quality_model,
+    quality_rules,
+    topk,
+    url_filter,
+)
 from quorica.llm.common import read_table
 
 TOKEN_RANKS = "byte_bpe_50k.tiktoken"
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(read_table(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return bpe.round_trip_report(docs, bpe.Vocabulary.load(public_tokenizers.path(TOKEN_RANKS), public_tokenizers.PATTERN))
@@ -35,10 +57,18 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read_table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.languages_of(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_top_k": op1_exact_top_k,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_quality_rules": op3_quality_rules,
+    "op5_url_filter": op5_url_filter,
     "op6_byte_level_bpe": op6_byte_level_bpe,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_pii": op8_pii,
     "op9_source_mixing": op9_source_mixing,
+    "op10_language_id": op10_language_id,
 }

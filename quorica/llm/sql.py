@@ -208,8 +208,93 @@ WITH docs AS (SELECT doc_id, text, source FROM documents), {MIX_CTES}
 SELECT doc_id, size, source_size, target, size * copies AS taken FROM copied
 """
 
+OP1 = """
+WITH whole AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+    FROM whole q JOIN whole c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+),
+ranked AS (
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score
+    FROM scored
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+def _shrunk(name: str, source: str) -> str:
+    """The posterior of one level: rows of `source` have n, bad and prior."""
+    return f"""
+{name}_strength AS (
+    SELECT round(coalesce(CASE WHEN sum(n::DOUBLE) > 0 THEN least(greatest(1 / greatest(
+        (sum(pow(bad - n::DOUBLE * prior, 2) / n::DOUBLE) - sum(prior * (1 - prior)))
+            / greatest(sum(n::DOUBLE * prior * (1 - prior)) - sum(prior * (1 - prior)), 1e-12),
+        1e-9) - 1, 1.0), 1000.0) ELSE 1000.0 END, 1000.0), 6) AS strength
+    FROM {source} WHERE n > 0
+),
+{name} AS (
+    SELECT {source}.*, strength, round((strength * prior + bad) / (strength + n), 9) AS rate
+    FROM {source}, {name}_strength
+)"""
+
+
+OP5 = f"""
+WITH rests AS (
+    SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+),
+parts AS (
+    SELECT page_id, {LOWER.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host,
+           regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+    FROM rests
+),
+outcomes AS (
+    SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad
+    FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id
+),
+hosts AS (
+    SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix,
+           count(bad) AS n, coalesce(sum(bad), 0) AS bad
+    FROM parts LEFT JOIN outcomes ON doc_id = page_id GROUP BY ALL
+),
+overall AS (SELECT coalesce(round((sum(bad) + 0.5) / (sum(n) + 1.0), 9), 0.5) AS prior FROM hosts),
+suffix_rows AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(prior) AS prior FROM hosts, overall GROUP BY suffix),
+{_shrunk("suffixes", "suffix_rows")},
+domain_rows AS (
+    SELECT domain, hosts.suffix, sum(hosts.n) AS n, sum(hosts.bad) AS bad, any_value(suffixes.rate) AS prior
+    FROM hosts JOIN suffixes ON suffixes.suffix = hosts.suffix GROUP BY ALL
+),
+{_shrunk("domains", "domain_rows")},
+host_rows AS (
+    SELECT host, hosts.n, hosts.bad, domains.rate AS prior FROM hosts JOIN domains ON domains.domain = hosts.domain
+),
+{_shrunk("rated", "host_rows")},
+bounds AS (
+    SELECT host, round(rate - 1.645 * sqrt(rate * (1 - rate) / (strength + n + 1)), 6) AS low FROM rated
+),
+rules(verdict, rule, rule_host, rule_path) AS (
+    VALUES ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'),
+           ('block', 'example.com/de/', 'example.com', '/de/'), ('allow', 'org/fr/', 'org', '/fr/')
+),
+matched AS (
+    SELECT host, path, arg_max(rule, len(rule)) AS rule, arg_max(verdict, len(rule)) AS verdict
+    FROM (SELECT DISTINCT host, path FROM parts) AS p
+    JOIN rules ON (host = rule_host OR suffix(host, '.' || rule_host)) AND starts_with(path, rule_path)
+    GROUP BY host, path
+)
+SELECT page_id, parts.host, parts.path, rule,
+       coalesce(verdict, CASE WHEN low > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts
+LEFT JOIN matched ON matched.host = parts.host AND matched.path = parts.path
+LEFT JOIN bounds ON bounds.host = parts.host
+"""
+
 STATEMENTS: dict[str, str] = {
+    "op1_exact_top_k": OP1,
     "op3_quality_rules": OP3,
+    "op5_url_filter": OP5,
     "op7_minhash_near_dedup": OP7,
     "op9_source_mixing": OP9,
 }
