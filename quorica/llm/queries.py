@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quorica.llm import (
     bpe,
     language_id,
+    licenses,
     minhash,
     mixing,
     pii,
@@ -35,6 +36,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(read_table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"))
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_quality_rules": op3_quality_rules,
+    "op4_license_scan": op4_license_scan,
     "op5_url_filter": op5_url_filter,
     "op6_byte_level_bpe": op6_byte_level_bpe,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from quorica.llm.licenses import COPYRIGHT_LINE, FOLDER, NOTICES, PUNCTUATION, RESERVED_LINE, SPELLINGS
+
 WORD = r"[^\x20\x09-\x0D]+"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -291,9 +293,49 @@ LEFT JOIN matched ON matched.host = parts.host AND matched.path = parts.path
 LEFT JOIN bounds ON bounds.host = parts.host
 """
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical(text: str) -> str:
+    out = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(13) || chr(9) || chr(11) || chr(12), 'abcdefghijklmnopqrstuvwxyz    ')"
+    for line in (COPYRIGHT_LINE, RESERVED_LINE):
+        out = f"regexp_replace({out}, '(?m){line}', '', 'g')"
+    out = f"regexp_replace(regexp_replace({out}, '{PUNCTUATION}', ' ', 'g'), ' +', ' ', 'g')"
+    for spelling, usual in SPELLINGS:
+        out = f"replace({out}, '{spelling}', '{usual}')"
+    return out
+
+
+def _flat(form: str) -> str:
+    return f"sha256(trim(regexp_replace({form}, '[ \\n]+', ' ', 'g'), ' '))"
+
+
+_KNOWN = ", ".join(
+    f"({_quoted(name)}, {_quoted(text)})"
+    for name, text in [*((p.stem, p.read_text(encoding="utf-8")) for p in sorted(FOLDER.glob("*.txt"))), *NOTICES]
+)
+OP4 = f"""
+WITH known(license_id, text) AS (VALUES {_KNOWN}),
+digests AS (
+    SELECT {_flat(_canonical("text"))} AS digest, min(license_id) AS license_id FROM known GROUP BY 1
+),
+forms AS (SELECT doc_id, {_canonical("coalesce(text, '')")} AS form FROM documents),
+lines AS (SELECT doc_id, trim(unnest(string_split(form, chr(10))), ' ') AS line FROM forms),
+named AS (
+    SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices
+    FROM lines JOIN digests ON digest = sha256(line) WHERE line <> '' GROUP BY doc_id
+)
+SELECT forms.doc_id, license_id, coalesce(notices, '') AS notices
+FROM forms
+LEFT JOIN digests ON digest = {_flat("form")}
+LEFT JOIN named ON named.doc_id = forms.doc_id
+"""
+
 STATEMENTS: dict[str, str] = {
     "op1_exact_top_k": OP1,
     "op3_quality_rules": OP3,
+    "op4_license_scan": OP4,
     "op5_url_filter": OP5,
     "op7_minhash_near_dedup": OP7,
     "op9_source_mixing": OP9,
