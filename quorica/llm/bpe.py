@@ -26,13 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorica.llm.common import stored
+from quorica.llm.common import mapped, stored
 
 BLOCK_CHARS = 16_000_000
 LONG_TEXT = 1 << 20
 BUCKET_BYTES = 4_000_000
 LEAST_BUCKETS = 48
-_BLOCKS = "block long, words binary, word_bytes long, lengths binary, doc_ids array<long>, sizes array<int>, places binary"
+_BLOCKS = "block long, words binary, word_bytes long, lengths binary, doc_ids array<string>, sizes array<int>, places binary"
 _SHARES = "bucket int, block long, words binary, lengths binary, slots binary"
 _IDS = "block long, slots binary, counts binary, ids binary"
 
@@ -107,11 +107,11 @@ def _split_into_blocks(pattern: str):
             return pd.DataFrame([row], columns=[c.split()[0] for c in _BLOCKS.split(", ")])
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].array, batch["text"]):
+            for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 text = text or ""
                 found = split.findall(text) if len(text) < LONG_TEXT else (m[0] for m in split.finditer(text))
                 at = np.fromiter(map(slots.__getitem__, found), np.uint32)
-                ids.append(None if pd.isna(doc_id) else int(doc_id))
+                ids.append(doc_id)
                 sizes.append(len(at))
                 places.append(pack(at))
                 chars += len(text)
@@ -191,9 +191,7 @@ def _reassemble(vocabulary: int):
             for doc_id, start, end in zip(row.doc_ids, ends - row.sizes, ends):
                 at = places[start:end]
                 out.append((doc_id, flat[_spread(first[at], amount[at])]))
-        made = pd.DataFrame(out, columns=["doc_id", "ids"])
-        made["doc_id"] = pd.array([None if pd.isna(d) else int(d) for d in made["doc_id"]], "Int64")
-        return made
+        return pd.DataFrame(out, columns=["doc_id", "ids"])
 
     return run
 
@@ -211,16 +209,18 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     ignored. A text of any length stays in one block; words of any length are merged whole.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(vocabulary.ranks)
-    blocks = stored(docs.select("doc_id", "text").mapInPandas(_split_into_blocks(vocabulary.pattern), _BLOCKS), "blocks")
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    blocks = stored(texts.mapInPandas(_split_into_blocks(vocabulary.pattern), _BLOCKS), "blocks")
     load = blocks.agg(F.coalesce(F.sum("word_bytes"), F.lit(0))).first()[0]
     buckets = max(LEAST_BUCKETS, -(-load // BUCKET_BYTES))
     shares = blocks.select("block", "words", "lengths").mapInPandas(_deal_words(buckets), _SHARES)
     encoded = shares.groupBy("bucket").applyInPandas(_encode_words(ranks), _IDS)
-    return (
+    placed = (
         encoded.groupBy("block")
         .cogroup(blocks.select("block", "lengths", "doc_ids", "sizes", "places").groupBy("block"))
-        .applyInPandas(_reassemble(len(vocabulary.ranks)), "doc_id long, ids array<int>")
+        .applyInPandas(_reassemble(len(vocabulary.ranks)), "doc_id string, ids array<int>")
     )
+    return placed.select(F.col("doc_id").cast("long").alias("doc_id"), "ids")
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -237,7 +237,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 decoded=[None if ids is None else b"".join(map(token, ids.tolist())) for ids in batch["ids"]]
             )
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, ids array<int>, decoded binary")
+    return mapped(encoded.select("doc_id", "ids"), run, "ids array<int>, decoded binary")
 
 
 def round_trip_report(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:

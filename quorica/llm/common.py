@@ -39,6 +39,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def mapped(df: DataFrame, run, schema: str) -> DataFrame:
+    """mapInPandas over a frame with doc_id, which comes first in the result.
+
+    Ids pass as strings: pandas turns whole numbers beside nulls into floats, which would round large ids.
+    """
+    text_ids = df.withColumn("doc_id", F.col("doc_id").cast("string"))
+    made = text_ids.mapInPandas(run, f"doc_id string, {schema}")
+    return made.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     """Two non-null columns that only rows of equal id and text share."""
     return [

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorica.llm.common import held_out
+from quorica.llm.common import held_out, mapped
 
 DIMENSIONS = 512
 GRAM = 3
@@ -172,7 +172,7 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray) -> Da
                 score[some] = ((1 + cosine.max(axis=1)) / 2)[some]
             yield pd.DataFrame({"doc_id": batch["doc_id"].array, "lang_pred": names, "score": score.clip(0, 1).round(6)})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
+    return mapped(docs.select("doc_id", "text"), run, "lang_pred string, score double")
 
 
 def languages_of(docs: DataFrame) -> DataFrame:

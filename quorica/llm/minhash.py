@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quorica.llm.common import free_names, row_key, stored, word_pieces
+from quorica.llm.common import free_names, mapped, row_key, stored, word_pieces
 from quorica.llm.graph import components
 
 PERMUTATIONS = 100
@@ -32,7 +32,7 @@ SHARE = 80
 FAMILY_MEMBERS = 256
 FAMILY_SHINGLES = 1_000_000
 HUBS = 12
-_PROFILE = "doc_id long, key_id long, key_text long, n_shingles long, node binary, short long, bands array<long>"
+_PROFILE = "key_id long, key_text long, n_shingles long, node binary, short long, bands array<long>"
 _LINK = "a binary, b binary"
 _U = np.uint64
 
@@ -251,7 +251,7 @@ def near_duplicates(
     With 100 permutations and 5 values a band, 40 bands miss a pair of similarity 0.8 once in 8 million.
     """
     source = docs.select("doc_id", "text").select("doc_id", "text", *row_key())
-    profile = stored(source.mapInPandas(_profiler(width, permutations, rows), _PROFILE), "profile")
+    profile = stored(mapped(source, _profiler(width, permutations, rows), _PROFILE), "profile")
     full = profile.where("node is not null")
     nodes = stored(
         full.groupBy("node").agg(

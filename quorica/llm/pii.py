@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorica.llm.common import stored
+from quorica.llm.common import mapped, stored
 
 KINDS = ("email", "ip", "card", "phone")
 LEAST_SUPPORT = 5
@@ -202,7 +202,7 @@ def find(docs: DataFrame, patterns: frozenset[tuple[str, str]]) -> DataFrame:
             yield out
 
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id long, {counts}, base string, spans string")
+    return mapped(docs.select("doc_id", "text"), run, f"{counts}, base string, spans string")
 
 
 def masked(text: str, spans: list[Span]) -> str:

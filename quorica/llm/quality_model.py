@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorica.llm.common import held_out, word_pieces
+from quorica.llm.common import held_out, mapped, word_pieces
 
 TRAIN_ROWS = 20_000
 FOLDS, HELD_FOLD = 5, 0
@@ -159,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Forest:
     known = known.groupBy("doc_id").agg((F.min("quality") > 0).cast("int").alias("label"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    measured = chosen.mapInPandas(_measure, "doc_id long, label int, x array<double>")
+    measured = mapped(chosen, _measure, "label int, x array<double>")
     got = measured.groupBy("doc_id").agg(F.min(F.struct("label", "x")).alias("r")).select("doc_id", "r.*")
     frame = got.toPandas().sort_values("doc_id")
     x = np.stack(frame["x"].to_list()) if len(frame) else np.zeros((0, len(STATISTICS)))
@@ -175,7 +175,7 @@ def score(docs: DataFrame, forest: Forest) -> DataFrame:
                 x = np.stack([statistics(text) for text in batch["text"]])
                 yield pd.DataFrame({"doc_id": batch["doc_id"].array, "score": forest.score(x).round(6)})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
+    return mapped(docs.select("doc_id", "text"), run, "score double")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -33,22 +33,21 @@ LEVELS = 256
 MOST_DIMENSIONS = 4096
 _EXACT = float(1 << 53)
 _NO_ID = (1 << 63) - 1
-_HITS = "uid long, query_id long, vec_id long, score long"
+_HITS = "uid long, query_id long, id long, nameless boolean, score long"
+_HIT_COLUMNS = ["uid", "query_id", "id", "nameless", "score"]
 
 
 def scaled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """floor(SCALE * x) of whole vectors as float64 bytes; others are left out."""
     for batch in batches:
         rows = []
-        for vec_id, vector in zip(batch["vec_id"].array, batch["embedding"]):
+        for key, nameless, asks, vector in zip(batch["id"], batch["nameless"], batch["asks"], batch["embedding"]):
             if vector is None:
                 continue
             x = np.floor(SCALE * np.array(vector, np.float64))
             if np.isfinite(x).all():
-                rows.append((None if pd.isna(vec_id) else int(vec_id), float(np.sqrt(x @ x)), len(x), x.tobytes()))
-        made = pd.DataFrame(rows, columns=["vec_id", "length", "dims", "v"])
-        made["vec_id"] = made["vec_id"].astype("Int64")
-        yield made
+                rows.append((key, nameless, asks, float(np.sqrt(x @ x)), len(x), x.tobytes()))
+        yield pd.DataFrame(rows, columns=["id", "nameless", "asks", "length", "dims", "v"])
 
 
 def _matrix(values, dims: int) -> np.ndarray:
@@ -102,8 +101,8 @@ def _search(queries: pd.DataFrame, block: pd.DataFrame, axes: np.ndarray, k: int
     """Hits of the queries in one block that can still be among the k best, k a query at most."""
     dims = len(axes)
     q, c = _matrix(queries["v"], dims), _matrix(block["v"], dims)
-    ids = block["vec_id"].fillna(_NO_ID).to_numpy(np.int64)
-    own = queries["vec_id"].to_numpy(np.int64)
+    ids, nameless = block["id"].to_numpy(), block["nameless"].to_numpy()
+    own = queries["id"].to_numpy()
     floor = queries["floor"].to_numpy(np.float64)
     turned_q, turned_c = q @ axes, c @ axes
     bound = turned_q[:, :leading] @ turned_c[:, :leading].T
@@ -114,14 +113,15 @@ def _search(queries: pd.DataFrame, block: pd.DataFrame, axes: np.ndarray, k: int
     bound += 1e-9 * np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)) + 1e-6
     parts = []
     for i in range(len(q)):
-        near = np.flatnonzero((bound[i] >= floor[i]) & (ids != own[i]))
+        near = np.flatnonzero((bound[i] >= floor[i]) & ((ids != own[i]) | nameless))
         if not len(near):
             continue
         scores = exact_products(q[i : i + 1], c[near])[0]
         top = _best(scores, ids[near], k)
-        hit = block["vec_id"].iloc[near[top]].array
-        parts.append(pd.DataFrame({"uid": queries["uid"].iloc[i], "query_id": own[i], "vec_id": hit, "score": scores[top]}))
-    return pd.concat(parts) if parts else pd.DataFrame(columns=["uid", "query_id", "vec_id", "score"])
+        at = near[top]
+        values = (queries["uid"].iloc[i], own[i], ids[at], nameless[at], scores[top])
+        parts.append(pd.DataFrame(dict(zip(_HIT_COLUMNS, values))))
+    return pd.concat(parts) if parts else pd.DataFrame(columns=_HIT_COLUMNS)
 
 
 def top_k(vectors: DataFrame, query: str = "vec_id % 20 = 0", k: int = K, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -133,14 +133,20 @@ def top_k(vectors: DataFrame, query: str = "vec_id % 20 = 0", k: int = K, block_
     query, of which results of equal id and vector are the same. Candidates of null id come last among
     equal scores. Scores beyond 64 bits are cut to the range.
     """
-    whole = vectors.select("vec_id", "embedding").mapInPandas(scaled, "vec_id long, length double, dims int, v binary")
-    whole = stored(whole, "scaled")
+    # pandas turns whole numbers beside nulls into floats, so a missing id is a flag.
+    named = vectors.select(
+        F.coalesce(F.col("vec_id").cast("long"), F.lit(_NO_ID)).alias("id"),
+        F.col("vec_id").isNull().alias("nameless"),
+        F.coalesce(F.expr(query), F.lit(False)).alias("asks"),
+        "embedding",
+    )
+    whole = stored(named.mapInPandas(scaled, "id long, nameless boolean, asks boolean, length double, dims int, v binary"), "scaled")
     rows, dims = whole.agg(F.count(F.lit(1)), F.coalesce(F.max("dims"), F.lit(0))).first()
     if dims > MOST_DIMENSIONS:
         raise ValueError(f"vectors of up to {MOST_DIMENSIONS} components are supported, found {dims}")
     axes = basis(whole, max(dims, 1)) if rows else np.eye(1)
     blocks = max(1, -(-rows // block_rows))
-    ordered = whole.repartitionByRange(blocks, F.desc("length"), F.asc("vec_id"), F.asc("v"))
+    ordered = whole.repartitionByRange(blocks, F.desc("length"), F.asc("id"), F.asc("v"))
     ordered = stored(
         ordered.withColumn("block", F.spark_partition_id()).withColumn("uid", F.monotonically_increasing_id()), "blocks"
     )
@@ -149,24 +155,24 @@ def top_k(vectors: DataFrame, query: str = "vec_id % 20 = 0", k: int = K, block_
     tops = ordered.groupBy((F.col("block") / run).cast("int").alias("level")).agg(F.max("length").alias("top"))
     tops = sorted(tuple(row) for row in tops.collect())  # LEVELS rows at most
 
-    queries = ordered.where(query).select("uid", "vec_id", "length", "v")
+    queries = ordered.where("asks and not nameless").select("uid", "id", "length", "v")
     parts = max(1, -(-rows // (20 * block_rows)))
     chunks = F.pmod(F.xxhash64("uid"), F.lit(parts))
     numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
-    first = ordered.where(F.col("block") == 0).select("vec_id", "v")
+    first = ordered.where(F.col("block") == 0).select("id", "nameless", "v")
 
     def side(df: DataFrame, is_query: bool) -> DataFrame:
-        filled = {"uid": "long", "floor": "double"}
+        filled = {"uid": "long", "floor": "double", "nameless": "boolean"}
         for name, kind in filled.items():
             if name not in df.columns:
                 df = df.withColumn(name, F.lit(None).cast(kind))
-        return df.select("block", "chunk", "uid", "vec_id", "v", "floor", F.lit(is_query).alias("is_query"))
+        return df.select("block", "chunk", "uid", "id", "nameless", "v", "floor", F.lit(is_query).alias("is_query"))
 
     def run_search(group: pd.DataFrame) -> pd.DataFrame:
         asked = group[group["is_query"]].reset_index(drop=True)
-        known = group[~group["is_query"]].reset_index(drop=True)
+        known = group[~group["is_query"]].reset_index(drop=True).astype({"nameless": bool})
         if asked.empty or known.empty:
-            return pd.DataFrame(columns=["uid", "query_id", "vec_id", "score"])
+            return pd.DataFrame(columns=_HIT_COLUMNS)
         # Chunks are even by hash only; a few queries at a time bound the matrices.
         found = [_search(asked.iloc[i : i + 512], known, axes, k, LEADING) for i in range(0, len(asked), 512)]
         return pd.concat(found)
@@ -194,11 +200,11 @@ def top_k(vectors: DataFrame, query: str = "vec_id % 20 = 0", k: int = K, block_
     wanted = floors.withColumn("chunk", chunks).withColumn("reach", F.least(reach, F.lit(len(levels))))
     last = F.least((F.col("reach") * run).cast("int"), F.lit(blocks)) - 1
     wanted = wanted.where(last >= 1).withColumn("block", F.explode(F.sequence(F.lit(1), last)))
-    wanted = stored(wanted.select("block", "chunk", "uid", "vec_id", "v", "floor"), "wanted")
+    wanted = stored(wanted.select("block", "chunk", "uid", "id", "v", "floor"), "wanted")
     pairs = wanted.select("block", "chunk").distinct()
-    known = ordered.where("block > 0").select("block", "vec_id", "v").join(pairs, "block")
+    known = ordered.where("block > 0").select("block", "id", "nameless", "v").join(pairs, "block")
     hits = hits.unionByName(meet(wanted, known))
 
-    by_score = Window.partitionBy("uid").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
+    by_score = Window.partitionBy("uid").orderBy(F.desc("score"), F.asc("id"), F.asc("nameless"))
     ranked = hits.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return ranked.select("query_id", "rank", F.when(~F.col("nameless"), F.col("id")).alias("vec_id"), "score")
