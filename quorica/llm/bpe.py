@@ -4,7 +4,7 @@
    position of every document, the slot of the word there.
 2. The words of all blocks are shuffled by their hash, so that equal words meet. Each is encoded once and its ids go
    back to the blocks that hold it. A frequent word is one entry per block, so no word makes a task large.
-3. Every block puts the ids in the order of its positions.
+3. Every block puts the ids in the order of its positions. Blocks are stored in buckets, so only ids move to them.
 
 Decoding joins each id with the bytes of its token; this table has one row per rank of the vocabulary, which bounds it.
 """
@@ -26,9 +26,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorica.llm.common import mapped, stored
+from quorica.llm.common import bucketed, mapped
 
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 12_000_000
 LONG_TEXT = 1 << 20
 BUCKET_BYTES = 4_000_000
 LEAST_BUCKETS = 48
@@ -210,7 +210,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """
     ranks = docs.sparkSession.sparkContext.broadcast(vocabulary.ranks)
     texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    blocks = stored(texts.mapInPandas(_split_into_blocks(vocabulary.pattern), _BLOCKS), "blocks")
+    blocks = bucketed(texts.mapInPandas(_split_into_blocks(vocabulary.pattern), _BLOCKS), "blocks", "block")
     load = blocks.agg(F.coalesce(F.sum("word_bytes"), F.lit(0))).first()[0]
     buckets = max(LEAST_BUCKETS, -(-load // BUCKET_BYTES))
     shares = blocks.select("block", "words", "lengths").mapInPandas(_deal_words(buckets), _SHARES)

@@ -35,6 +35,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like `stored`, in buckets of `key`: grouping by it reads the buckets where they are instead of shuffling.
+
+    Twice as many buckets as shuffle partitions, as Spark ignores a bucketing with fewer. The table is
+    external, its files are in the shared folder.
+    """
+    spark = df.sparkSession
+    unique = uuid.uuid4().hex
+    path = f"{shared_dir(spark)}/llm/{unique}/{name}"
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"llm_{name}_{unique}"
+    df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").saveAsTable(table)
+    return spark.table(table)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -135,7 +135,8 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             units = _unit(profiles.bundles(list(batch["text"]))).astype(np.float64)
             for lang, at in batch.groupby("lang").indices.items():
                 sums[lang] = sums.get(lang, 0) + units[at].sum(axis=0)
-        yield pd.DataFrame({"lang": list(sums), "v": list(sums.values())})
+        if sums:
+            yield pd.DataFrame({"lang": list(sums), "v": list(sums.values())})
 
     rows = docs.where("lang is not null and text is not null").where(~held_out(F.col("doc_id"), FOLDS, HELD_FOLD))
     parts = rows.select("lang", "text").mapInPandas(run, "lang string, v array<double>")

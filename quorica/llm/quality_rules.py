@@ -33,6 +33,16 @@ def _bind(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _once(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """`keep` and new columns that are computed once a row.
+
+    They leave a generator, which Catalyst doesn't take apart. As plain columns they would be copied into every filter
+    and lambda that names them, and a copy inside a lambda runs once per element.
+    """
+    made = F.explode(F.array(F.struct(*(c.alias(name) for name, c in columns.items()))))
+    return df.select(*keep, made.alias("made")).select(*keep, "made.*")
+
+
 def _repeat_words(words: Column, count: Column, has_repeat: Column) -> Column:
     """Words inside windows that occur at least twice; sorting brings equal windows together."""
 
@@ -64,35 +74,31 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     `row` holds the input columns. A null text counts as empty. Wrong-looking input (only white space, one
     endless word) simply has few words.
     """
-    text = F.coalesce("text", F.lit(""))
-    taken = docs.select(F.struct("*").alias("row"), "lang", "source", text.alias("text")).withColumn(
-        "words", F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
+    own = ["row", "lang", "source", "text"]
+    text = F.coalesce("text", F.lit("")).alias("text")
+    taken = docs.select(F.struct("*").alias("row"), "lang", "source", text)
+    split = _once(
+        taken,
+        own,
+        words=F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)),
+        lines=F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")),
     )
-    hashed = taken.withColumns(
-        {
-            "n_words": F.size("words"),
-            "hashes": F.when(
-                F.size("words") >= WINDOW,
-                F.transform(
-                    F.sequence(F.lit(0), F.size("words") - WINDOW),
-                    lambda i: F.xxhash64(F.slice("words", i + 1, WINDOW)),
-                ),
-            ).otherwise(F.array().cast("array<long>")),
-            "lines": F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")),
-        }
+    hashes = F.transform(
+        F.sequence(F.lit(0), F.size("words") - WINDOW), lambda i: F.xxhash64(F.slice("words", i + 1, WINDOW))
     )
+    none = F.array().cast("array<long>")
+    hashed = _once(split, [*own, "words", "lines"], hashes=F.when(F.size("words") >= WINDOW, hashes).otherwise(none))
     symbols = F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))
-    counted = hashed.select(
-        "row",
-        "lang",
-        "source",
-        F.col("n_words").cast("long").alias("n_words"),
-        F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        symbols.cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        _repeat_words(
-            F.col("words"), F.col("n_words"), F.size(F.array_distinct("hashes")) < F.size("hashes")
-        ).alias("n_repeat_words"),
+    counted = _once(
+        hashed,
+        own[:3],
+        n_words=F.size("words").cast("long"),
+        word_chars=F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long"),
+        n_symbols=symbols.cast("long"),
+        n_dup_lines=(F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
+        n_repeat_words=_repeat_words(
+            F.col("words"), F.size("words"), F.size(F.array_distinct("hashes")) < F.size("hashes")
+        ),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return counted.withColumn("base_failed", failed)
