@@ -1,8 +1,14 @@
 """Regex matching with RE2 semantics on Spark's Java regex engine.
 
 RE2 and Java disagree on ``\\b`` (ASCII against Unicode), on ``\\s`` (Java adds
-the vertical tab), on ``.`` before ``\\r`` and on case folding of non-ASCII
-letters. ``java_pattern`` rewrites a pattern so that Java gives RE2's answer.
+the vertical tab), on ``.`` before ``\\r`` and on case folding: under ``(?i)`` RE2
+folds the long s to ``s``, Java also the dotless i to ``i``. ``java_pattern``
+rewrites a pattern so that Java gives RE2's answer on lower-cased text, without
+its case flags.
+
+RE2 also reads every text once. Java restarts at each possible start, so ``a.*b``
+takes quadratic time on a long line of ``a``; such alternatives are anchored to
+the first start in a line, or in a run of the repeated class.
 """
 
 from __future__ import annotations
@@ -15,11 +21,14 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+LONG_S = "\u017f"
 _SPACE = r"\t\n\f\r "
+_WORD = rf"\w{LONG_S}"
 _BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 _TOKEN = re.compile(r"\\.|[\[\]]|[^\\\[\]]+", re.DOTALL)
 _WORDS = re.compile(r"\(([a-z_]+(?:\|[a-z_]+)*)\)(?![?*{])|([a-z_])[a-z_]")
-LONG_S = "\u017f"
+_REPEATED = re.compile(r"(?P<head>.+?)(?P<run>\.|\[[^\]]*\])\*(?P<tail>.+)", re.DOTALL)
+_DOTTED_I = ("\u0130", "i")
 
 
 def _boundary(rest: str) -> str:
@@ -27,13 +36,14 @@ def _boundary(rest: str) -> str:
     words = _WORDS.match(rest)
     if not words:
         return _BOUNDARY
-    initials = sorted({word[0] for word in (words[1] or words[2]).split("|")})
-    return f"(?=[{''.join(initials)}]){_BOUNDARY}"
+    initials = {word[0] for word in (words[1] or words[2]).split("|")}
+    if "s" in initials:
+        initials.add(LONG_S)
+    return f"(?=[{''.join(sorted(initials))}]){_BOUNDARY}"
 
 
-def java_pattern(pattern: str) -> str:
-    """The Java form of a case-insensitive RE2 pattern."""
-    pattern = pattern.removeprefix("(?i)")
+def _translated(pattern: str) -> str:
+    """Java tokens for RE2 tokens, one by one."""
     in_class = False
     out = []
     for found in _TOKEN.finditer(pattern):
@@ -42,23 +52,66 @@ def java_pattern(pattern: str) -> str:
             in_class = token == "["
         elif token == r"\s":
             token = _SPACE if in_class else f"[{_SPACE}]"
+        elif token == r"\w":
+            token = _WORD if in_class else f"[{_WORD}]"
         elif token == r"\b":
             token = _boundary(pattern[found.end() :])
+        elif not in_class and token[0] != "\\":
+            token = token.replace("s", f"[s{LONG_S}]")
         out.append(token)
-    return "(?iud)" + "".join(out)
+    return "".join(out)
+
+
+def _alternatives(pattern: str) -> list[str]:
+    """The alternatives of a pattern, or of the one group that is the whole pattern."""
+    depth, cuts, closed = 0, [], False
+    whole = pattern.startswith("(") and pattern.endswith(")")
+    for place, char in enumerate(pattern):
+        depth += (char == "(") - (char == ")")
+        closed |= depth == 0 and place < len(pattern) - 1
+        if char == "|" and depth == (0 if not whole else 1):
+            cuts.append(place)
+    if whole and closed:
+        return [pattern]
+    start, end = (1, len(pattern) - 1) if whole else (0, len(pattern))
+    return [pattern[a + 1 : b] for a, b in zip([start - 1, *cuts], [*cuts, end])]
+
+
+def _read_once(alternative: str) -> str:
+    """``head run* tail`` from the first head of each line or run: later heads see no more of it."""
+    found = _REPEATED.fullmatch(alternative)
+    if not found:
+        return _translated(alternative)
+    head, tail = _translated(found["head"]), _translated(found["tail"])
+    if found["run"] == ".":
+        return rf"^(?:(?!{head})[^\n])*+{head}[^\n]*{tail}"
+    run = _translated(found["run"])
+    return rf"(?<!{run})(?:(?!{head}){run})*+{head}{run}*{tail}"
+
+
+def java_pattern(pattern: str) -> str:
+    """The Java form, for lower-cased text, of a case-insensitive RE2 pattern.
+
+    A class that is repeated between two parts must hold all characters of the first part.
+    """
+    alternatives = _alternatives(pattern.removeprefix("(?i)"))
+    return "(?dm)(?:" + "|".join(map(_read_once, alternatives)) + ")"
 
 
 def search_text(*parts: Column) -> Column:
-    """Lower-cased text of the parts, joined by a blank, nulls as empty."""
+    """Lower-cased text of the parts, joined by a blank, nulls as empty.
+
+    The capital dotted I becomes a plain i, not an i with a combining dot.
+    """
     filled = [F.coalesce(part, F.lit("")) for part in parts]
     spaced = [piece for part in filled for piece in (F.lit(" "), part)][1:]
-    return F.lower(F.concat(*spaced))
+    return F.lower(F.replace(F.concat(*spaced), F.lit(_DOTTED_I[0]), F.lit(_DOTTED_I[1])))
 
 
 def folded(text: Column) -> Column:
     """Text for the substring test.
 
-    The long s is the one letter that folds to ASCII under case-insensitive
+    The long s is the one letter that folds to ASCII in RE2's case-insensitive
     matching and survives ``lower``.
     """
     return F.replace(text, F.lit(LONG_S), F.lit("s"))

@@ -1,6 +1,8 @@
 """RE2 semantics of the translated patterns, with DuckDB's RE2 as the judge."""
 
 import random
+import re
+import time
 
 import duckdb
 import pyarrow as pa
@@ -71,6 +73,73 @@ def test_catalogue_matches_re2_on_random_texts(spark):
     assert [(t, got[i], expected[i]) for i, t in enumerate(texts) if got[i] != expected[i]] == []
 
 
+FOLDING = [
+    "conversıon faıled and conversion",
+    "group by not contaıned in x group",
+    "unıque constraınt unique",
+    "foreıgn key foreign",
+    "permission denıed denied x permıssion denied",
+    "wıth x as (select) with",
+    "inſert ınto insert",
+    "inſert into",
+    "İnsert into x, ınsert into",
+    "update ſ, merge ſ, with ſ as (",
+    "with ſ, recurſive",
+    "relation x\n does not exiſt relation, does not",
+]
+
+
+def test_folding_is_that_of_re2(spark):
+    assert spark_hits(spark, FOLDING) == re2_hits(FOLDING)
+
+
+def specimens(pattern, rng):
+    """Random texts that one pattern nearly or wholly matches, built from its own parts."""
+    body = pattern.removeprefix("(?i)")
+    body = re.sub(r"\[[^\]]*\]\*", lambda m: rng.choice([" ", " x, ", ", a b ", "a b", "."]), body)
+    body = re.sub(r"\\d\{4,5\}", lambda m: rng.choice(["123", "1234", "01234", "123456"]), body)
+    while "(" in body.replace(r"\(", ""):
+        body = re.sub(r"(?<!\\)\(([^()\\]*(?:\\.[^()\\]*)*)\)\??", lambda m: rng.choice(m[1].split("|")), body)
+    body = rng.choice(body.split("|"))
+    for code, texts in {
+        r"\b": [""] * 9 + ["x", "é", "_"],
+        r"\s+": [" ", " ", " ", "\t", "\n ", "\u000b", ""],
+        r"\s*": ["", " ", "\r"],
+        r"\w+": ["ab", "ſ", "é"],
+        r"\w": ["a", "a", "ſ", "-"],
+        r"\(": ["(", "["],
+        ".*": ["", " x ", "\n", "\r", "null"],
+        ".?": ["", " ", "-"],
+    }.items():
+        body = re.sub(re.escape(code), lambda m: rng.choice(texts), body)
+    swaps = {"i": "iıİI", "s": "sſS", "k": "kK\u212a"}
+    return "".join(rng.choice(swaps[c]) if c in swaps and rng.random() < 0.1 else c for c in body)
+
+
+def test_texts_made_from_every_pattern(spark):
+    rng = random.Random(5)
+    texts = [specimens(e.pattern, rng) for e in ENTRIES for _ in range(60)]
+    texts += [" ".join(rng.choices(texts, k=3)) for _ in range(1500)]
+    got, expected = spark_hits(spark, texts), re2_hits(texts)
+    assert [(t, got[i], expected[i]) for i, t in enumerate(texts) if got[i] != expected[i]] == []
+    hit = [sum(column) for column in zip(*expected.values())]
+    assert all(3 <= n < len(texts) for n in hit)
+
+
+LONG = ["null,", "not contained in ", "relation ", "with a ", "with a,", "with ", "merge ", "with a\tas ", "count ", "ora-1 "]
+
+
+@pytest.mark.parametrize("entry", ENTRIES, ids=lambda e: getattr(e, "label", None) or e.flag)
+def test_a_long_line_is_read_in_linear_time(spark, entry):
+    size = 1_000_000
+    pieces = [*LONG, *entry.needles, *(n + " " for n in entry.needles)]
+    texts = [(piece * (size // len(piece)),) for piece in dict.fromkeys(pieces)]
+    df = spark.createDataFrame(texts, "t string").repartition(8)
+    start = time.perf_counter()
+    df.select(F.rlike("t", F.lit(java_pattern(entry.pattern))).alias("hit")).groupBy("hit").count().collect()
+    assert time.perf_counter() - start < 2 * len(texts)
+
+
 @pytest.mark.parametrize("pattern, text, hit", [
     (r"(?i)\bs?elect", "xelect", False),
     (r"(?i)\bs?elect", "an elect", True),
