@@ -195,5 +195,10 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that pass, with their columns. The texts are read twice and never shuffled."""
-    return judged(docs).where("kept").select("row.*")
+    """The rows of `docs` that pass, with their columns.
+
+    Rows and statistics are written once, as computing them costs far more than reading them; the cutoffs read only the
+    statistics. Texts are never shuffled.
+    """
+    measured = stored(with_statistics(docs), "measured")
+    return judged(docs, measured).where("kept").select("row.*")
