@@ -420,6 +420,12 @@ _BODIES: dict[str, str] = {
         {_share('accepted_answer_id IS NOT NULL')} AS pct_accepted, {_round('avg(answer_count)', 2)} AS avg_answers_per_q
       FROM searched, signatures WHERE regexp_matches(search_text, pattern)
       GROUP BY label ORDER BY num_questions DESC, label LIMIT 10""",
+    "error_patterns_table": ERRORS + f"""SELECT label AS error_pattern, count(*) AS num_questions,
+        {_round('avg(score)', 2)} AS avg_score, cast(sum(score) AS bigint) AS total_upvotes,
+        cast(sum(view_count) AS bigint) AS total_views, {_share('answer_count > 0')} AS pct_answered,
+        {_share('accepted_answer_id IS NOT NULL')} AS pct_accepted, {_round('avg(answer_count)', 2)} AS avg_answers_per_q
+      FROM searched, signatures WHERE regexp_matches(search_text, pattern)
+      GROUP BY label""",
     "keyword_frequency": KEYWORDS + f""", q AS (
         SELECT label, count(*) AS in_questions FROM raw_questions, keywords
         WHERE regexp_matches(lower(coalesce(body, '')), pattern) GROUP BY label),

@@ -92,17 +92,14 @@ def fct_tag_yearly(questions: DataFrame) -> DataFrame:
 def question_dialects(questions: DataFrame) -> DataFrame:
     """One row per question and dialect family.
 
-    The catalogue is a fixed 38-row table, so the broadcast cannot grow.
+    A question's dialects depend on its own tags only, so there is nothing to join or to shuffle.
     """
-    spark = questions.sparkSession
-    pairs = [(dialect, tag) for dialect, tags in DIALECT_TAGS.items() for tag in tags]
-    catalogue = spark.createDataFrame(pairs, "dialect string, tag string")
-    return (
-        questions.select(F.explode("tags").alias("tag"), *_QUESTION_FACTS)
-        .join(F.broadcast(catalogue), "tag")
-        .select("dialect", *_QUESTION_FACTS)
-        .distinct()
-    )
+
+    def named(dialect: str, tags: list[str]) -> Column:
+        return F.when(F.arrays_overlap("tags", F.array(*map(F.lit, tags))), F.lit(dialect))
+
+    dialects = F.array_compact(F.array(*(named(*entry) for entry in DIALECT_TAGS.items())))
+    return questions.select(F.explode(dialects).alias("dialect"), *_QUESTION_FACTS)
 
 
 def dialect_mart(questions: DataFrame) -> DataFrame:
@@ -123,8 +120,8 @@ def dialect_mart(questions: DataFrame) -> DataFrame:
     )
 
 
-def feature_flags(questions: DataFrame) -> DataFrame:
-    """The 22 feature flags of each raw question, 0 or 1.
+def feature_flags(questions: DataFrame, *kept: Column) -> DataFrame:
+    """The 22 feature flags of each raw question, 0 or 1, after any columns to keep.
 
     ``inline`` makes the flags outputs of a generator. Filters and scores above
     it refer to finished values; through a projection Catalyst would copy the
@@ -140,9 +137,10 @@ def feature_flags(questions: DataFrame) -> DataFrame:
         return hit.cast("long").alias(feature.flag)
 
     return (
-        questions.select(F.col("id").alias("question_id"), search_text(F.col("body")).alias("text"))
+        questions.select(F.col("id").alias("question_id"), *kept, search_text(F.col("body")).alias("text"))
         .withColumn("plain", folded(text))
-        .select("question_id", F.inline(F.array(F.struct(*map(flag, FEATURES)))))
+        .select("*", F.inline(F.array(F.struct(*map(flag, FEATURES)))))
+        .drop("text", "plain")
     )
 
 
@@ -154,19 +152,19 @@ def complexity_tier(score: Column) -> Column:
     return first_below(score, COMPLEXITY_TIERS, TOP_COMPLEXITY_TIER, inclusive=True)
 
 
-def complexity_mart(questions: DataFrame, raw_questions: DataFrame) -> DataFrame:
-    """Score and tier per question, from staged facts and the raw body.
-
-    The flags are computed before the join, so bodies are never shuffled.
-    """
-    scored = feature_flags(raw_questions).withColumn("complexity_score", complexity_score())
-    return (
-        questions.select(*_QUESTION_FACTS)
-        .join(scored, "question_id")
-        .select(
-            *_QUESTION_FACTS,
-            "complexity_score",
-            complexity_tier(F.col("complexity_score")).alias("complexity_tier"),
-            *FLAGS,
-        )
+def complexity_mart(raw_questions: DataFrame) -> DataFrame:
+    """Facts, score and tier per raw question; facts and flags come from one pass without a join."""
+    facts = (
+        F.year("creation_date").cast("long").alias("creation_year"),
+        F.col("score"),
+        F.col("view_count"),
+        (F.col("answer_count") > 0).alias("is_answered"),
+        F.col("accepted_answer_id").isNotNull().alias("has_accepted_answer"),
+    )
+    scored = feature_flags(raw_questions, *facts).withColumn("complexity_score", complexity_score())
+    return scored.select(
+        *_QUESTION_FACTS,
+        "complexity_score",
+        complexity_tier(F.col("complexity_score")).alias("complexity_tier"),
+        *FLAGS,
     )

@@ -124,7 +124,7 @@ def time_to_answer_tiers(questions: DataFrame, years: Years) -> DataFrame:
         .where(F.col("is_answered") & hours.isNotNull())
         .groupBy(first_below(hours, ANSWER_TIME_TIERS, LAST_ANSWER_TIME_TIER).alias("tier"))
         .agg(row_count().alias("num_questions"))
-        .withColumn("label", F.substring("tier", 4, 64))
+        .withColumn("label", F.substr("tier", F.lit(4)))
         .orderBy("tier")
     )
 

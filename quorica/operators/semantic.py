@@ -154,7 +154,6 @@ def tile_tag_volume_pivot(facts: DataFrame, years: Years, columns: int = 10) ->
         where=in_years(years) & F.col("tag").isin(*tags),
         pivot=("tag", tags),
         sorts=["creation_year"],
-        limit=30,
     )
 
 
@@ -185,19 +184,19 @@ def tile_volume(facts: DataFrame, years: Years, ascending: bool, limit: int = 10
     ).withColumnsRenamed({str(y): f"total_questions_{y}" for y in (first, last)})
 
 
-def tile_monthly(questions: DataFrame) -> DataFrame:
-    return _explore_questions(questions, ["creation_month"], ["count"], sorts=["creation_month"], limit=500)
+def tile_monthly(questions: DataFrame, limit: int | None = None) -> DataFrame:
+    return _explore_questions(questions, ["creation_month"], ["count"], sorts=["creation_month"], limit=limit)
 
 
 def tile_time_to_answer(questions: DataFrame) -> DataFrame:
     return _explore_questions(
-        questions, ["time_to_answer_tier"], ["count"], where=F.col("is_answered"), sorts=["time_to_answer_tier"], limit=10
+        questions, ["time_to_answer_tier"], ["count"], where=F.col("is_answered"), sorts=["time_to_answer_tier"]
     )
 
 
 def tile_reputation(questions: DataFrame) -> DataFrame:
     return _explore_questions(
-        questions, ["reputation_tier"], ["count"], sorts=[F.desc("count"), F.asc("reputation_tier")], limit=10
+        questions, ["reputation_tier"], ["count"], sorts=[F.desc("count"), F.asc("reputation_tier")]
     )
 
 

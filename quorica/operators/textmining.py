@@ -27,10 +27,10 @@ def error_matches(questions: DataFrame) -> DataFrame:
     )
 
 
-def error_patterns(questions: DataFrame, limit: int | None = 10) -> DataFrame:
-    """Volume and answer signal of the error signatures, most frequent first."""
+def error_patterns(questions: DataFrame) -> DataFrame:
+    """Volume and answer signal of every error signature found, most frequent first."""
     accepted = F.col("accepted_answer_id").isNotNull()
-    ranked = (
+    return (
         error_matches(questions)
         .groupBy("error_pattern")
         .agg(
@@ -44,7 +44,11 @@ def error_patterns(questions: DataFrame, limit: int | None = 10) -> DataFrame:
         )
         .orderBy(F.desc("num_questions"), "error_pattern")
     )
-    return ranked if limit is None else ranked.limit(limit)
+
+
+def top_error_patterns(patterns: DataFrame, limit: int = 10) -> DataFrame:
+    """The most frequent rows of the error table."""
+    return patterns.orderBy(F.desc("num_questions"), "error_pattern").limit(limit)
 
 
 def accepted_answers(answers: DataFrame, questions: DataFrame) -> DataFrame:

@@ -117,7 +117,7 @@ class Forum:
 
     @layer
     def complexity(self) -> DataFrame:
-        return marts.complexity_mart(self.dim_questions, self.questions)
+        return marts.complexity_mart(self.questions)
 
     @layer
     def error_patterns(self) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from conftest import SF_DIR, at, rows_of
-from quorica.operators import marts, panels, selection
+from quorica.operators import marts, panels, selection, semantic
 from quorica.plans.forum import Forum, Scope, coarser, open_published, publish
 from quorica.session import shared_dir
 from quorica.sources import sinks
@@ -170,8 +170,31 @@ def test_no_nested_loop_or_cartesian_join(spark, name):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
-def test_complexity_join_moves_flags_not_bodies(spark):
+def test_complexity_flags_are_computed_once_and_joined_with_nothing(spark):
     plan = plan_of(entry_module.queries()["complexity_by_tier"](spark, SF_DIR))
     above = plan.split("Generate")[0]
     assert "RLIKE" not in above and plan.count("inline(") >= 1
+    assert "Join" not in above
     assert marts.FLAGS[0] in plan
+
+
+def test_dialects_of_a_question_need_no_join_and_no_shuffle(spark):
+    rows = spark.createDataFrame(
+        [(1, 2021, 1, 1, True, True, ["mysql", "mysql", "postgresql"]), (2, 2021, 1, 1, True, True, ["sql", None])],
+        "question_id long, creation_year long, score long, view_count long, is_answered boolean, "
+        "has_accepted_answer boolean, tags array<string>",
+    )
+    found = marts.question_dialects(rows)
+    plan = plan_of(found)
+    assert "Join" not in plan and "Exchange" not in plan
+    assert [r.question_id for r in found.collect()] == [1, 1]
+
+
+def test_monthly_tile_keeps_all_months(spark):
+    months = spark.range(600).selectExpr("cast(add_months(date'1960-01-01', cast(id AS int)) AS timestamp_ntz) AS creation_date")
+    filler = [F.lit(None).cast(kind).alias(name) for name, kind in (
+        ("question_id", "long"), ("title", "string"), ("creation_year", "long"), ("score", "long"),
+        ("view_count", "long"), ("answer_count", "long"), ("comment_count", "long"), ("is_answered", "boolean"),
+        ("has_accepted_answer", "boolean"), ("hours_to_first_answer", "long"), ("owner_user_id", "long"),
+        ("owner_display_name", "string"), ("owner_reputation", "long"))]
+    assert semantic.tile_monthly(months.select("*", *filler)).count() == 600
