@@ -512,6 +512,7 @@ _BODIES: dict[str, str] = {
       cast(date_trunc('quarter', q.creation_date) AS date) AS creation_quarter,
       cast(date_trunc('year', q.creation_date) AS date) AS creation_calendar_year,
       count(*) AS count FROM dim_questions q GROUP BY 1, 2, 3, 4""",
+    "creation_raw": "SELECT creation_date AS creation_raw, count(*) AS count FROM dim_questions GROUP BY 1",
     "time_to_answer_tier_all": f"""SELECT {_tier('hours_to_first_answer', cat.ANSWER_HOURS_BOUNDS)} AS time_to_answer_tier,
       count(*) AS count FROM dim_questions GROUP BY 1""",
     "reputation_tier": f"""SELECT {_tier('owner_reputation', cat.REPUTATION_BOUNDS)} AS reputation_tier, count(*) AS count
@@ -521,6 +522,18 @@ _BODIES: dict[str, str] = {
     "tile_kpis": f"""SELECT cast(sum(num_questions) AS bigint) AS total_questions,
       {_round('avg(pct_answered)', 6)} AS pct_answered, {_round('avg(pct_accepted)', 6)} AS pct_accepted,
       cast(sum(total_views) AS bigint) AS total_views FROM fct WHERE creation_year IN {YEARS}""",
+    "tile_tag_volume_pivot": f""", slots AS (
+        SELECT tag, row_number() OVER (ORDER BY sum(num_questions) DESC, tag) AS slot FROM fct
+        WHERE creation_year IN {YEARS} GROUP BY tag QUALIFY slot <= 10),
+      wide AS (FROM (PIVOT (SELECT creation_year, slot, num_questions FROM fct JOIN slots USING (tag)
+        WHERE creation_year IN {YEARS}) ON slot IN (1, 2, 3, 4, 5, 6, 7, 8, 9, 10)
+        USING sum(num_questions) GROUP BY creation_year))
+      SELECT creation_year, """
+    + ", ".join(
+        f'(SELECT tag FROM slots WHERE slot = {i}) AS tag_{i}, cast("{i}" AS bigint) AS total_questions_{i}'
+        for i in range(1, 11)
+    )
+    + " FROM wide",
     "tile_best_answered": f"""SELECT tag, {_round('avg(pct_answered)', 6)} AS pct_answered,
       cast(sum(num_questions) AS bigint) AS total_questions FROM fct WHERE creation_year IN {YEARS}
       GROUP BY tag HAVING sum(num_questions) > 150 ORDER BY 2 DESC, tag LIMIT 15""",

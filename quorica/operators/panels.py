@@ -15,7 +15,7 @@ from quorica.functions.catalogues import (
     PRACTICE_LABELS,
 )
 from quorica.functions.expressions import first_below, mean, month_of, row_count, share
-from quorica.operators.ranking import top_rows
+from quorica.operators.ranking import both_ends
 from quorica.operators.trends import answer_rates, year_pair
 
 Years = Sequence[int]
@@ -74,44 +74,43 @@ def monthly_volume(questions: DataFrame, years: Years) -> DataFrame:
     )
 
 
+def _growth(facts: DataFrame, years: Years, floor: int) -> DataFrame:
+    first, last = years[0], years[-1]
+    return year_pair(facts, first, last, floor).select("tag", f"q_{first}", f"q_{last}", "growth_rate")
+
+
 def tag_growth(facts: DataFrame, years: Years, floor: int = 200) -> DataFrame:
     """Growth of every tag above the floor in the first and last year."""
-    first, last = years[0], years[-1]
-    return (
-        year_pair(facts, first, last, floor)
-        .select("tag", f"q_{first}", f"q_{last}", "growth_rate")
-        .orderBy(F.desc("growth_rate"), "tag")
-    )
+    return _growth(facts, years, floor).orderBy(F.desc("growth_rate"), "tag")
 
 
 def _head_and_tail(df: DataFrame, value: str, k: int, label: str, head: str, tail: str) -> DataFrame:
     """The k highest and the k lowest rows; with fewer than 2k rows some appear twice."""
-    high = top_rows(df, [F.desc(value), F.asc("tag")], k, "position")
-    low = top_rows(df, [F.asc(value), F.desc("tag")], k, "position")
-    return high.withColumn(label, F.lit(head)).unionByName(low.withColumn(label, F.lit(tail))).drop("position")
+    ends = both_ends(df, value, "tag", k, "from_top", "from_bottom")
+    sides = F.array(F.when(F.col("from_top") <= k, head), F.when(F.col("from_bottom") <= k, tail))
+    return ends.withColumn(label, F.explode(F.array_compact(sides))).drop("from_top", "from_bottom")
 
 
 def growth_head_tail(facts: DataFrame, years: Years, floor: int = 200, k: int = 10) -> DataFrame:
     """Both ends of the growth list, in percent rounded half to even."""
     percent = F.bround(F.col("growth_rate").cast("decimal(18,4)") * 100, 1).cast("double")
     return (
-        _head_and_tail(tag_growth(facts, years, floor), "growth_rate", k, "direction", "Rising", "Falling")
+        _head_and_tail(_growth(facts, years, floor), "growth_rate", k, "direction", "Rising", "Falling")
         .withColumn("growth_pct", percent)
         .orderBy("growth_rate", "tag", "direction")
     )
 
 
+def _rates(facts: DataFrame, years: Years, floor: int) -> DataFrame:
+    return answer_rates(facts, years, floor).select("tag", "total_questions", "pct_answered", "pct_accepted", "avg_score")
+
+
 def answer_rates_min_volume(facts: DataFrame, years: Years, floor: int = 500) -> DataFrame:
-    return (
-        answer_rates(facts, years, floor)
-        .select("tag", "total_questions", "pct_answered", "pct_accepted", "avg_score")
-        .orderBy(F.desc("pct_answered"), "tag")
-    )
+    return _rates(facts, years, floor).orderBy(F.desc("pct_answered"), "tag")
 
 
 def answer_rate_extremes(facts: DataFrame, years: Years, floor: int = 500, k: int = 15) -> DataFrame:
-    rates = answer_rates_min_volume(facts, years, floor)
-    return _head_and_tail(rates, "pct_answered", k, "side", "best", "worst").orderBy(
+    return _head_and_tail(_rates(facts, years, floor), "pct_answered", k, "side", "best", "worst").orderBy(
         "side", F.desc("pct_answered"), "tag"
     )
 
@@ -210,11 +209,13 @@ def feature_presence_long(complexity: DataFrame, years: Years | None = None) ->
     )
 
 
-def practice_candidates(questions: DataFrame, complexity: DataFrame, tier: str) -> DataFrame:
-    """Questions of one tier with their tags as text and the practice flags."""
-    picked = complexity.where((F.col("complexity_tier") == tier) & (F.col("complexity_score") > 0)).select(
+def _practice_picks(complexity: DataFrame, tier: str) -> DataFrame:
+    return complexity.where((F.col("complexity_tier") == tier) & (F.col("complexity_score") > 0)).select(
         "question_id", "complexity_score", "complexity_tier", *PRACTICE_LABELS
     )
+
+
+def _practice_rows(questions: DataFrame, picked: DataFrame) -> DataFrame:
     facts = questions.select("question_id", "title", "score", "view_count", "tags")
     return facts.join(picked, "question_id").select(
         "question_id",
@@ -228,14 +229,22 @@ def practice_candidates(questions: DataFrame, complexity: DataFrame, tier: str)
     )
 
 
+def practice_candidates(questions: DataFrame, complexity: DataFrame, tier: str) -> DataFrame:
+    """Questions of one tier with their tags as text and the practice flags."""
+    return _practice_rows(questions, _practice_picks(complexity, tier))
+
+
 def practice_pool(questions: DataFrame, complexity: DataFrame, tier: str, seed: int, n: int = 50) -> DataFrame:
     """A random sample of the candidates.
 
     The random order is a digest of seed and id, so a retried task or another
-    partitioning draws the same sample; another seed draws another one.
+    partitioning draws the same sample; another seed draws another one. The n
+    smallest digests are taken before the join, which n rows reach: both marts
+    have one row for each selected question, so the join drops none of them.
     """
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col("question_id").cast("string")))
-    return practice_candidates(questions, complexity, tier).orderBy(draw, "question_id").limit(n)
+    picked = _practice_picks(complexity, tier).orderBy(draw, "question_id").limit(n)
+    return _practice_rows(questions, F.broadcast(picked)).orderBy(draw, "question_id")
 
 
 def active_features(complexity: DataFrame) -> DataFrame:

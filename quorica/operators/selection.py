@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quorica.sources.sinks import in_window, without_partitions
+
 
 def select_questions(questions: DataFrame, start: str, end: str, topic: str) -> DataFrame:
-    """Questions created in ``[start, end)`` whose tag string contains the topic."""
-    created = F.col("creation_date")
-    return questions.where(
-        (created >= F.lit(start).cast("timestamp_ntz"))
-        & (created < F.lit(end).cast("timestamp_ntz"))
-        & F.col("tags").contains(topic)
-    )
+    """Questions created in ``[start, end)`` whose tag string contains the topic.
+
+    Over a date-partitioned table only the folders of the window are read.
+    """
+    picked = questions.where(in_window(questions, start, end) & F.col("tags").contains(topic))
+    return without_partitions(picked)
 
 
 def exclude_tag(questions: DataFrame, tag: str) -> DataFrame:
@@ -21,10 +24,18 @@ def exclude_tag(questions: DataFrame, tag: str) -> DataFrame:
     return questions.where(~F.array_contains(F.split("tags", r"\|"), tag))
 
 
-def select_answers(answers: DataFrame, questions: DataFrame) -> DataFrame:
-    """Answers whose parent is a selected question."""
+def _since(posts: DataFrame, since: datetime | None) -> DataFrame:
+    return without_partitions(posts.where(in_window(posts, since, None)))
+
+
+def select_answers(answers: DataFrame, questions: DataFrame, since: datetime | None = None) -> DataFrame:
+    """Answers whose parent is a selected question.
+
+    ``since`` is a time before which no answer of these questions was written; over a date-partitioned
+    table earlier folders aren't read.
+    """
     asked = questions.select(F.col("id").alias("question_id"))
-    return answers.join(asked, F.col("parent_id") == F.col("question_id"), "left_semi")
+    return _since(answers, since).join(asked, F.col("parent_id") == F.col("question_id"), "left_semi")
 
 
 def select_users(users: DataFrame, questions: DataFrame, answers: DataFrame) -> DataFrame:
@@ -38,13 +49,15 @@ def select_users(users: DataFrame, questions: DataFrame, answers: DataFrame) ->
     return users.join(authors, F.col("id") == F.col("owner_user_id"), "left_semi")
 
 
-def select_comments(comments: DataFrame, questions: DataFrame, answers: DataFrame) -> DataFrame:
-    """Comments on a selected question or answer.
+def select_comments(
+    comments: DataFrame, questions: DataFrame, answers: DataFrame, since: datetime | None = None
+) -> DataFrame:
+    """Comments on a selected question or answer, none of which was written before ``since``.
 
     A semi join needs no distinct on its right side; post ids are unique anyway.
     """
     posts = questions.select(F.col("id").alias("target_id")).union(answers.select("id"))
-    return comments.join(posts, F.col("post_id") == F.col("target_id"), "left_semi")
+    return _since(comments, since).join(posts, F.col("post_id") == F.col("target_id"), "left_semi")
 
 
 def select_tags(tags: DataFrame) -> DataFrame:

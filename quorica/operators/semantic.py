@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorica.functions.catalogues import (
@@ -14,7 +14,8 @@ from quorica.functions.catalogues import (
     REPUTATION_BOUNDS,
 )
 from quorica.functions.expressions import integer_tier, month_of, row_count
-from quorica.operators.panels import in_years, top_n_tags
+from quorica.operators.panels import in_years
+from quorica.operators.ranking import top_rows
 
 Years = Sequence[int]
 
@@ -145,16 +146,34 @@ def tile_kpis(facts: DataFrame, years: Years) -> DataFrame:
 
 
 def tile_tag_volume_pivot(facts: DataFrame, years: Years, columns: int = 10) -> DataFrame:
-    """Years as rows, the largest tags as columns; their names are fetched first."""
-    tags = [row.tag for row in top_n_tags(facts, years, columns).collect()]
-    return _explore_facts(
-        facts,
-        ["creation_year", "tag"],
-        ["total_questions"],
-        where=in_years(years) & F.col("tag").isin(*tags),
-        pivot=("tag", tags),
-        sorts=["creation_year"],
+    """Years as rows, the largest tags as columns, sorted by the first of them, highest first.
+
+    Which tags are the largest is only known when the query runs, so columns are slots: ``tag_1`` names the
+    largest tag in every row and ``total_questions_1`` holds its questions of the year, null without any.
+    One pass over the facts gives a row per tag with its years as columns; ``columns`` rows of these go on.
+    """
+    year, n = F.col("creation_year"), F.col("num_questions")
+    per_tag = (
+        facts.where(in_years(years))
+        .groupBy("tag")
+        .agg(F.sum(n).alias("total"), *[F.sum(F.when(year == y, n)).alias(f"q_{y}") for y in years])
+    )
+    largest = top_rows(per_tag, [F.desc("total"), F.asc("tag")], columns, "slot")
+    slots = range(1, columns + 1)
+    names = {f"tag_{i}": F.max(F.when(F.col("slot") == i, F.col("tag"))).over(Window.partitionBy()) for i in slots}
+    entries = F.array(*[F.struct(F.lit(y).alias("creation_year"), F.col(f"q_{y}").alias("n")) for y in years])
+    cells = largest.withColumns(names).select("slot", *names, F.inline(entries)).where("n IS NOT NULL")
+    wide = cells.groupBy("creation_year").agg(
+        *[
+            F.max(made).alias(name)
+            for i in slots
+            for name, made in (
+                (f"tag_{i}", F.col(f"tag_{i}")),
+                (f"total_questions_{i}", F.when(F.col("slot") == i, F.col("n"))),
+            )
+        ]
     )
+    return wide.orderBy(F.desc_nulls_last("total_questions_1"), "creation_year")
 
 
 def tile_best_answered(facts: DataFrame, years: Years, above: int = 500, limit: int = 15) -> DataFrame:
@@ -216,6 +235,11 @@ def creation_timeframes(questions: DataFrame) -> DataFrame:
     return _explore_questions(questions, frames, ["count"])
 
 
+def creation_raw(questions: DataFrame) -> DataFrame:
+    """Questions by the unshortened time of their creation."""
+    return _explore_questions(questions, ["creation_raw"], ["count"])
+
+
 def question_links(questions: DataFrame) -> DataFrame:
     return questions.select("question_id", question_dimensions()["question_link"].alias("question_link"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorica.functions.expressions import mean, ratio, sum_where
-from quorica.operators.ranking import both_ends, rank_within, top_rows
+from quorica.operators.ranking import both_ends, top_rows
 
 Years = Sequence[int]
 
@@ -142,8 +142,10 @@ def answer_rates(facts: DataFrame, years: Years, floor: int = 500) -> DataFrame:
 def answer_rate_by_tag(facts: DataFrame, years: Years, floor: int = 500, limit: int = 15) -> DataFrame:
     """Best and worst answered tags, with their ranks by answer and acceptance rate."""
     rates = answer_rates(facts, range(years[0], years[-1] + 1), floor)
-    ends = both_ends(rates, "pct_answered", "tag", limit, "best_answered_rank", "worst_answered_rank")
-    ends = rank_within(ends, rates, "pct_accepted", "tag", "best_accepted_rank")
+    ends = both_ends(
+        rates, "pct_answered", "tag", limit, "best_answered_rank", "worst_answered_rank",
+        other="pct_accepted", other_rank="best_accepted_rank",
+    )
     best = F.col("best_answered_rank") <= limit
     return ends.select(
         F.when(best, F.lit("highest answer rate")).otherwise(F.lit("lowest answer rate")).alias("cohort"),

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, replace
+import time
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, replace
+from datetime import datetime, timedelta
 from functools import cached_property, partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quorica.operators import marts, selection, staging, textmining
 from quorica.sources import sinks
+from quorica.sources.store import Entry, Store
 from quorica.sources.tables import ForumTables
 
 
@@ -56,6 +59,11 @@ class Forum:
         s = self.scope
         return selection.select_questions(questions, s.start, s.end, s.topic)
 
+    def _earliest(self, name: str) -> datetime | None:
+        """Time before which the source has no answers, or comments, on questions of the window."""
+        lead = self.raw.leads.get(name)
+        return lead if lead is None else datetime.fromisoformat(self.scope.start) - lead
+
     @layer
     def questions(self) -> DataFrame:
         return self._in_scope(self.raw.questions)
@@ -69,7 +77,7 @@ class Forum:
 
     @layer
     def answers(self) -> DataFrame:
-        return selection.select_answers(self.raw.answers, self.slim_questions)
+        return selection.select_answers(self.raw.answers, self.slim_questions, self._earliest("answers"))
 
     @layer
     def users(self) -> DataFrame:
@@ -77,7 +85,9 @@ class Forum:
 
     @layer
     def comments(self) -> DataFrame:
-        return selection.select_comments(self.raw.comments, self.slim_questions, self.answers)
+        return selection.select_comments(
+            self.raw.comments, self.slim_questions, self.answers, self._earliest("comments")
+        )
 
     @layer
     def tags(self) -> DataFrame:
@@ -151,10 +161,6 @@ class Layout:
     grain: str | None = None
     cluster: tuple[str, ...] = ()
 
-    @property
-    def partition(self) -> str:
-        return f"creation_{self.grain}"
-
 
 # In build order: each layer is computed from the written ones before it.
 LAYOUTS = {
@@ -178,34 +184,139 @@ def coarser(grain: str) -> dict[str, Layout]:
     return {n: replace(layout, grain=grain) if layout.grain else layout for n, layout in LAYOUTS.items()}
 
 
-def write_layer(df: DataFrame, path: str, layout: Layout) -> None:
+def _write(df: DataFrame, layout: Layout, path: str) -> None:
     if layout.grain:
-        sinks.write_by_date(df, path, layout.partition, layout.grain, layout.cluster)
+        sinks.write_by_date(df, path, sinks.PARTITIONS[layout.grain], layout.grain, layout.cluster)
     else:
-        sinks.overwrite(df, path)
+        df.write.parquet(path)
 
 
-def read_layer(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name}")
+@dataclass(frozen=True)
+class Step:
+    """Outcome of one step of a run; `written` is false where the table of an earlier run was kept."""
 
+    name: str
+    version: str
+    written: bool
+    seconds: float
 
-def publish(
-    raw: ForumTables, scope: Scope, spark: SparkSession, root: str, layouts: dict[str, Layout] = LAYOUTS
-) -> Iterator[str]:
-    """Write the layers in order, each computed from the tables before it; yields each name when done.
 
-    Running it again replaces every table.
+def _selection(scope: Scope) -> dict[str, str]:
+    """The part of a scope that decides on rows; the rest are parameters of queries."""
+    return {"start": scope.start, "end": scope.end, "topic": scope.topic}
+
+
+def _leads(forum: Forum, name: str) -> dict[str, int]:
+    """Microseconds by which an answer, or comment, at most precedes its question; negative if all follow it."""
+    asked = forum.slim_questions.select("id", F.col("creation_date").alias("asked"))
+    posts = asked
+    if name == "comments":
+        answered = forum.answers.select(F.col("id").alias("answer_id"), "parent_id")
+        posts = asked.union(answered.join(asked, F.col("parent_id") == F.col("id")).select("answer_id", "asked"))
+    post = "parent_id" if name == "answers" else "post_id"
+    made = getattr(forum, name).select(post, "creation_date").join(posts, F.col(post) == F.col("id"))
+    ahead = F.max(F.unix_micros(F.col("asked").cast("timestamp")) - F.unix_micros(F.col("creation_date").cast("timestamp")))
+    lead = made.agg(ahead).first()[0]
+    return {} if lead is None else {"lead_micros": lead}
+
+
+def publish(
+    raw: ForumTables,
+    scope: Scope,
+    spark: SparkSession,
+    root: str,
+    layouts: dict[str, Layout] = LAYOUTS,
+    input_version: str | None = None,
+    after_step: Callable[[Step], None] = lambda step: None,
+) -> list[Step]:
+    """Write the layers in order, each computed from the tables before it, then show them to readers all at once.
+
+    Every step has a fingerprint of its plan, layout and inputs. A table of an earlier run, finished or failed, is kept if its
+    fingerprint is the same, so a run after a failure goes on where that one ended, and a run over
+    unchanged data writes nothing. Raw files count by path, size and time unless `input_version` names their state, which
+    sources without files need in order to be recognised. Readers see the earlier publication until the last step is done.
     """
-    stored: dict[str, Callable[[], DataFrame]] = {}
+    store = Store(spark, root)
+    done = store.progress()
+    tables: dict[str, Entry] = {}
+    steps = []
     for name, layout in layouts.items():
-        write_layer(getattr(Forum(raw, scope, stored), name), f"{root}/{name}", layout)
-        stored[name] = partial(read_layer, spark, root, name)
-        yield name
+        start = time.perf_counter()
+        forum = Forum(raw, scope, {n: partial(_plain, store, n, entry) for n, entry in tables.items()})
+        df = getattr(forum, name)
+        fingerprint = store.fingerprint(df, [_selection(scope), asdict(layout)], input_version)
+        entry = done.get(name)
+        written = entry is None or fingerprint is None or entry.fingerprint != fingerprint or not store.is_whole(name, entry)
+        if written:
+            entry = store.write(name, partial(_write, df, layout), fingerprint, asdict(layout))
+            if name in ("answers", "comments") and "questions" in tables:
+                stored = Forum(raw, scope, forum.stored | {name: partial(_plain, store, name, entry)})
+                entry = replace(entry, notes=_leads(stored, name))
+            store.note_progress({**done, **tables, name: entry})
+        tables[name] = entry
+        step = Step(name, entry.version, written, time.perf_counter() - start)
+        steps.append(step)
+        after_step(step)
+    store.publish(_selection(scope), tables)
+    return steps
+
+
+def _plain(store: Store, name: str, entry: Entry) -> DataFrame:
+    """A stored layer without the helper column of its layout, but for the mart whose queries prune by it."""
+    df = store.read(name, entry)
+    return df if name == "dim_questions" else sinks.without_partitions(df)
+
+
+def covers(stored: dict[str, str], scope: Scope) -> bool:
+    """Whether a stored selection holds every row of a scope.
+
+    A tag string that contains the narrower topic contains each part of it.
+    """
+    begins = datetime.fromisoformat(stored["start"]) <= datetime.fromisoformat(scope.start)
+    ends = datetime.fromisoformat(scope.end) <= datetime.fromisoformat(stored["end"])
+    return begins and ends and stored["topic"] in scope.topic
 
 
 def open_published(spark: SparkSession, root: str, scope: Scope) -> Forum:
-    """A forum whose layers are the tables under ``root``."""
-    return Forum(None, scope, {name: partial(read_layer, spark, root, name) for name in LAYOUTS})
+    """A forum over the published tables under ``root``.
+
+    With the stored window and topic, layers are the tables themselves. A narrower scope selects from the stored
+    corpus, from the folders its window needs; question marts are cut to the selection, and sums are computed anew. A scope that
+    the tables don't cover is refused.
+    """
+    store = Store(spark, root)
+    published = store.published()
+    if published is None:
+        raise ValueError(f"nothing is published under {root}")
+    selection_, tables = published
+    if selection_ == _selection(scope):
+        return Forum(None, scope, {name: partial(_plain, store, name, entry) for name, entry in tables.items()})
+    if not covers(selection_, scope):
+        raise ValueError(f"the tables hold {selection_}, which doesn't cover {_selection(scope)}")
+    missing = [name for name in CORPUS if name not in tables]
+    if missing:
+        raise ValueError(f"a narrower scope needs the whole corpus; not published: {missing}")
+    leads = {
+        name: timedelta(microseconds=tables[name].notes["lead_micros"])
+        for name in ("answers", "comments")
+        if "lead_micros" in tables[name].notes
+    }
+    corpus = ForumTables(**{name: store.read(name, tables[name]) for name in CORPUS}, leads=leads)
+    forum = Forum(corpus, scope)
+
+    def dim_questions() -> DataFrame:
+        mart = store.read("dim_questions", tables["dim_questions"])
+        tagged = F.array_join("tags", "|").contains(scope.topic)
+        return mart.where(sinks.in_window(mart, scope.start, scope.end) & tagged)
+
+    def complexity() -> DataFrame:
+        asked = forum.slim_questions.select(F.col("id").alias("asked_id"))
+        mart = store.read("complexity", tables["complexity"])
+        return mart.join(asked, F.col("question_id") == F.col("asked_id"), "left_semi")
+
+    cut = {"dim_questions": dim_questions, "complexity": complexity}
+    forum.stored = {name: read for name, read in cut.items() if name in tables}
+    return forum
 
 
 def register(forum: Forum) -> None:

@@ -1,19 +1,35 @@
-"""Sinks: idempotent overwrite, and date-partitioned tables with clustered files."""
+"""Sinks: replaced catalogue tables, and date-partitioned tables with clustered files."""
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def overwrite(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Create or replace the table at the path."""
-    df.write.mode("overwrite").format(fmt).save(path)
+# Partition column of each grain.
+PARTITIONS = {"day": "creation_day", "month": "creation_month"}
 
 
 def save_table(df: DataFrame, name: str) -> None:
-    """Create or replace a catalogue table."""
-    df.write.mode("overwrite").format("parquet").saveAsTable(name)
+    """Create or replace a catalogue table.
+
+    The rows go to a new folder of the warehouse first and the table is then pointed to it, so
+    a failed job leaves the table as it was, and running queries keep the files they opened. Columns
+    that differ from the table's take two steps of the catalogue, a drop and a create.
+    """
+    spark = df.sparkSession
+    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/{name}.versions/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    quoted = path.replace("'", "\\'")
+    if spark.catalog.tableExists(name):
+        if spark.table(name).schema.simpleString() == df.schema.simpleString():
+            spark.sql(f"ALTER TABLE {name} SET LOCATION '{quoted}'")
+            spark.catalog.refreshTable(name)
+            return
+        spark.sql(f"DROP TABLE {name}")
+    spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{quoted}'")
 
 
 def date_bucket(ts: Column, grain: str) -> Column:
@@ -45,23 +61,34 @@ def write_by_date(
     )
 
 
-def read_window(
-    spark: SparkSession,
-    path: str,
-    partition: str,
-    grain: str,
-    start: str,
-    end: str,
-    timestamp: str = "creation_date",
-) -> DataFrame:
-    """Rows with ``start <= timestamp < end``, with the same bound on the partition column.
+def in_window(
+    df: DataFrame, start: str | datetime | None, end: str | datetime | None, timestamp: str = "creation_date"
+) -> Column:
+    """``start <= timestamp < end``, and the same bounds on the date partitions `df` has; None is no bound.
 
     Spark prunes folders only by a filter on the partition column itself.
     """
-    low, high = (F.lit(edge).cast("timestamp_ntz") for edge in (start, end))
-    bucket, ts = F.col(partition), F.col(timestamp)
-    return (
-        spark.read.parquet(path)
-        .where((bucket >= date_bucket(low, grain)) & (bucket <= date_bucket(high, grain)))
-        .where((ts >= low) & (ts < high))
-    )
+    ts, suits = F.col(timestamp), F.lit(True)
+    buckets = {grain: F.col(partition) for grain, partition in PARTITIONS.items() if partition in df.columns}
+    if start is not None:
+        low = F.lit(start).cast("timestamp_ntz")
+        suits = suits & (ts >= low)
+        for grain, bucket in buckets.items():
+            suits = suits & (bucket >= date_bucket(low, grain))
+    if end is not None:
+        high = F.lit(end).cast("timestamp_ntz")
+        suits = suits & (ts < high)
+        for grain, bucket in buckets.items():
+            suits = suits & (bucket <= date_bucket(high, grain))
+    return suits
+
+
+def without_partitions(df: DataFrame) -> DataFrame:
+    """Drop the helper columns of the layout."""
+    return df.drop(*PARTITIONS.values())
+
+
+def read_window(spark: SparkSession, path: str, start: str | None, end: str | None) -> DataFrame:
+    """The rows of a date-partitioned table in ``[start, end)``, from the folders that can hold them."""
+    df = spark.read.parquet(path)
+    return df.where(in_window(df, start, end))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, field
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +25,7 @@ class ForumTables:
     comments: DataFrame
     tags: DataFrame
     slim_questions: DataFrame | None = None
+    leads: Mapping[str, timedelta] = field(default_factory=dict)
 
     def __post_init__(self):
         if self.slim_questions is None:

@@ -200,6 +200,8 @@ def _tags(nation: DataFrame) -> DataFrame:
 class DerivedForum:
     """The raw forum tables over one folder of test tables, each built on first use."""
 
+    leads: dict = {}
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir

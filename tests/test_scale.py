@@ -124,7 +124,7 @@ def test_hot_day_is_split_over_files_and_each_file_is_clustered(spark, hot_forum
 def test_window_read_prunes_day_folders(spark, hot_forum, tmp_path):
     path = str(tmp_path / "answers")
     sinks.write_by_date(hot_forum.answers, path, "creation_day", "day", ("owner_user_id", "id"))
-    window = sinks.read_window(spark, path, "creation_day", "day", "2021-01-05", "2021-01-07 12:00:00")
+    window = sinks.read_window(spark, path, "2021-01-05", "2021-01-07 12:00:00")
     low, high = at("2021-01-05"), at("2021-01-07T12:00:00")
     assert window.count() == hot_forum.answers.where((F.col("creation_date") >= low) & (F.col("creation_date") < high)).count()
     assert "PartitionFilters: [isnotnull(creation_day" in plan_of(window)
@@ -134,7 +134,7 @@ def test_published_month_mart_prunes_other_years(spark, tmp_path):
     root, scope = str(tmp_path), entry_module.TEST_SCOPE
     raw = entry_module.DerivedForum(spark, SF_DIR)
     wanted = {name: coarser("month")[name] for name in ("questions", "answers", "users", "dim_questions")}
-    assert list(publish(raw, scope, spark, root, wanted)) == list(wanted)
+    assert [step.name for step in publish(raw, scope, spark, root, wanted)] == list(wanted)
     forum = open_published(spark, root, scope)
     kpis = panels.kpis(forum.dim_questions, [1998])
     assert "creation_month" in plan_of(kpis).split("PartitionFilters:")[1].split("\n")[0]
@@ -163,6 +163,31 @@ def test_facts_read_no_text_and_push_filters(spark, raw_rows, tmp_path):
     assert "body" not in plan
 
 
+@pytest.fixture(scope="module")
+def stored_forum(spark, tmp_path_factory):
+    root = str(tmp_path_factory.mktemp("forum"))
+    publish(entry_module.DerivedForum(spark, SF_DIR), entry_module.TEST_SCOPE, spark, root, coarser("month"))
+    return open_published(spark, root, entry_module.TEST_SCOPE)
+
+
+@pytest.mark.parametrize("name, scans", [("rising_falling_tags", 1), ("answer_rate_by_tag", 1), ("growth_head_tail", 1),
+                                         ("answer_rate_extremes", 1), ("tile_tag_volume_pivot", 1), ("dq_unique", 10)])
+def test_each_stored_table_is_scanned_once(stored_forum, name, scans):
+    df = entry_module.FORUM_QUERIES[name](stored_forum)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == scans
+    assert df.count() > 0
+
+
+def test_unique_report_shuffles_all_keys_at_once(stored_forum):
+    assert plan_of(entry_module.FORUM_QUERIES["dq_unique"](stored_forum)).count("hashpartitioning(test") == 2
+
+
+def test_sample_of_the_practice_pool_is_taken_before_the_join(stored_forum):
+    plan = stored_forum and entry_module.FORUM_QUERIES["practice_pool"](stored_forum)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject(limit=50" in plan.split("Join", 1)[1]
+
+
 @pytest.mark.parametrize("name", ["validation_checks", "dialect_mart", "error_patterns", "keyword_frequency",
                                   "rising_falling_tags", "answer_rate_by_tag", "top_n_tag_trend", "complexity_mart"])
 def test_no_nested_loop_or_cartesian_join(spark, name):

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from conftest import rows_of
 from quorica.operators import panels, ranking, semantic, trends
+from quorica.operators.quality import unique_report
+from quorica.operators.ranking import both_ends
 
 YEARS = (2020, 2021, 2022)
 
@@ -94,8 +96,7 @@ def test_ranks_match_brute_force(spark):
     rng = random.Random(5)
     data = [(f"k{i:03}", rng.randint(0, 9), rng.randint(0, 4)) for i in range(200)]
     df = spark.createDataFrame(data, "k string, v int, w int")
-    ends = ranking.both_ends(df, "v", "k", 7, "up", "down")
-    got = rows_of(ranking.rank_within(ends, df, "w", "k", "w_rank"))
+    got = rows_of(ranking.both_ends(df, "v", "k", 7, "up", "down", other="w", other_rank="w_rank"))
     by_v = sorted(data, key=lambda r: (-r[1], r[0]))
     by_w = sorted(data, key=lambda r: (-r[2], r[0]))
     expected = {
@@ -119,3 +120,41 @@ def test_semantic_tiers(spark):
     assert [r[0] for r in df.select(tier).collect()] == [
         "Undefined", "Below 1", "Below 1", "1 to 5", "1 to 5", "6 to 23", "168 or Above",
     ]
+
+
+def brute_ends(rows, k):
+    """rows: (tag, value, other). Both ranks and the rank by `other` of the k highest and k lowest."""
+    worst = float("-inf")
+    high = sorted(rows, key=lambda r: (-(worst if r[1] is None else r[1]), r[0]))
+    by_other = sorted(rows, key=lambda r: (-(worst if r[2] is None else r[2]), r[0]))
+    n = len(rows)
+    return {
+        r[0]: (i, n + 1 - i, by_other.index(r) + 1) for i, r in enumerate(high, 1) if i <= k or n + 1 - i <= k
+    }
+
+
+@pytest.mark.parametrize("n, k", [(0, 3), (1, 3), (5, 3), (6, 3), (7, 3), (500, 4), (500, 600)])
+@pytest.mark.parametrize("distinct", [1, 3, 1000])
+def test_both_ends_against_a_whole_sort(spark, n, k, distinct):
+    """With few distinct values a third or all of the rows tie; some values are null."""
+    draw = random.Random(n * distinct)
+    rows = [
+        (f"t{i:03}", draw.choice([None, *[float(x) for x in range(distinct)]]), float(draw.randrange(distinct)))
+        for i in range(n)
+    ]
+    df = spark.createDataFrame(rows, "tag string, value double, other double").repartition(5)
+    ends = both_ends(df, "value", "tag", k, "up", "down", other="other", other_rank="by_other")
+    assert {r.tag: (r.up, r.down, r.by_other) for r in ends.collect()} == brute_ends(rows, k)
+    plain = both_ends(df, "value", "tag", k, "up", "down")
+    assert plain.columns == ["tag", "value", "other", "up", "down"]
+    assert {r.tag: (r.up, r.down) for r in plain.collect()} == {t: r[:2] for t, r in brute_ends(rows, k).items()}
+
+
+def test_unique_report_counts_repeated_keys_of_every_model(spark):
+    models = {
+        "a": spark.createDataFrame([(1, "x"), (1, "y"), (None, "y"), (None, "y"), (2, None)], "id long, name string"),
+        "b": spark.createDataFrame([], "id long"),
+    }
+    tests = [("a", "id"), ("b", "id"), ("a", "name")]
+    got = {(r.model, r.column_name): (r.failures, r.passed) for r in unique_report(models, tests).collect()}
+    assert got == {("a", "id"): (1, False), ("b", "id"): (0, True), ("a", "name"): (1, False)}
