@@ -85,6 +85,7 @@ def unique_report(models: Models, tests: Sequence[tuple[str, str]] = UNIQUE_TEST
     return (
         counted.groupBy("test")
         .agg(F.count_if(repeated).alias("failures"))
+        .orderBy("test")
         .select(names[F.col("test")].alias("named"), "failures")
         .select("named.*", "failures", (F.col("failures") == 0).alias("passed"))
     )
