@@ -1,210 +1,210 @@
 """Exact top-k inner products over vectors sorted by length.
 
-1. Vectors are cut into blocks by descending length (one range shuffle; equal lengths are cut by id, so many equal
-   vectors fill several blocks). The second moments of all vectors give an orthogonal basis, the right singular
-   vectors, whose leading axes hold most of the length.
-2. Queries meet the block of the longest vectors first; the k-th best score found there is their threshold.
-3. By Cauchy-Schwarz a vector c scores at most |q||c|, so a query needs only the leading blocks, down to the length
-   where that falls below its threshold. Within a block, the partial product over the leading axes plus the product of
-   the remaining lengths bounds the score; only pairs whose bound reaches the threshold are multiplied out in
-   integers.
-4. The best k of all blocks are ranked.
-
-Blocks and query chunks have a fixed number of rows; they meet as (block, chunk) groups, so a task holds one block and
-one chunk, however many vectors there are.
+1. Vectors are dealt by descending length (one range shuffle, equal lengths by id) and written in that order. The
+   second moments of all vectors give an orthogonal basis, the right singular vectors, whose leading axes hold
+   most of the length.
+2. Opening: the longest OPENING_ROWS of every task are multiplied out. The k-th best score a query has found over all tasks
+   is its floor: nothing below it can be among the k best.
+3. Search: every task streams its vectors past the queries, block by block. By Cauchy-Schwarz a block whose longest vector is c
+   holds no score above |q||c|, so queries whose floor is higher skip it. For the others the partial product over
+   the leading axes plus the product of the remaining lengths bounds every score; only pairs whose bound reaches the floor are
+   multiplied out, in whole numbers. What a task finds raises its floors as it goes.
+4. The k best of all tasks are ranked.
+
+Queries are broadcast in chunks of CHUNK_BYTES, one after the other; vectors are not copied, and only scores at or above
+a floor, k for each query and task at most, are shuffled. No step relies on the number of partitions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from quorica.llm.common import stored
+from quorica.llm.vectors import (
+    BLOCK_ROWS,
+    TILE_ROWS,
+    Leaders,
+    blocks,
+    by_score,
+    chunked,
+    from_sortable,
+    identity,
+    matrix,
+    products,
+    reach_of,
+    score_columns,
+    whole_vectors,
+)
 
 SCALE = 64
 K = 20
-BLOCK_ROWS = 4096
 LEADING = 16
-LEVELS = 256
-MOST_DIMENSIONS = 4096
-_EXACT = float(1 << 53)
-_NO_ID = (1 << 63) - 1
-_HITS = "uid long, query_id long, id long, nameless boolean, score long"
-_HIT_COLUMNS = ["uid", "query_id", "id", "nameless", "score"]
-
-
-def scaled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """floor(SCALE * x) of whole vectors as float64 bytes; others are left out."""
-    for batch in batches:
-        rows = []
-        for key, nameless, asks, vector in zip(batch["id"], batch["nameless"], batch["asks"], batch["embedding"]):
-            if vector is None:
-                continue
-            x = np.floor(SCALE * np.array(vector, np.float64))
-            if np.isfinite(x).all():
-                rows.append((key, nameless, asks, float(np.sqrt(x @ x)), len(x), x.tobytes()))
-        yield pd.DataFrame(rows, columns=["id", "nameless", "asks", "length", "dims", "v"])
-
-
-def _matrix(values, dims: int) -> np.ndarray:
-    """Rows padded with zeros to `dims`."""
-    out = np.zeros((len(values), dims))
-    for i, value in enumerate(values):
-        row = np.frombuffer(value)
-        out[i, : len(row)] = row
-    return out
+BASIS_DIMENSIONS = 1024
+OPENING_ROWS = 1024
+DENSE_SHARE = 0.1
+PARTITION_ROWS = 1 << 20
+_EXACT = 1 << 53
+_MARGIN = 1e-9
+_HITS = "uid long, query_id long, id long, nameless boolean, score long, exact binary"
+_HIT_COLUMNS = ["uid", "query_id", "id", "nameless", "score", "exact"]
+
+
+@F.pandas_udf(DoubleType())
+def length_of(v: pd.Series) -> pd.Series:
+    return pd.Series(np.linalg.norm(matrix(pa.array(v, pa.binary())), axis=1))
 
 
 def _moments(dims: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((dims, dims))
-        for batch in batches:
-            rows = _matrix(batch["v"], dims)
-            largest = np.abs(rows).max(initial=1.0)
-            total += (rows / largest).T @ (rows / largest)
-        yield pd.DataFrame({"at": np.arange(dims), "row": list(total)})
+        for block in blocks(batches):
+            rows = matrix(block.column(0))[:, :dims]
+            rows = np.pad(rows, ((0, 0), (0, dims - rows.shape[1])))
+            rows = rows / np.abs(rows).max(initial=1.0)
+            total += rows.T @ rows
+        at, to = np.divmod(np.arange(dims * dims), dims)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(to), pa.array(total.ravel())], names=["at", "to", "x"])
 
     return run
 
 
 def basis(vectors: DataFrame, dims: int) -> np.ndarray:
-    """Orthogonal axes by falling share of the squared length. Any basis keeps the result exact; this one prunes."""
-    parts = vectors.mapInPandas(_moments(dims), "at int, row array<double>")
-    entries = parts.select("at", F.posexplode("row").alias("to", "x")).groupBy("at", "to").agg(F.sum("x").alias("x"))
+    """Orthogonal axes by falling share of the squared length. Any basis keeps the result exact; this one prunes.
+
+    Only the first BASIS_DIMENSIONS components are rotated, which bounds what reaches the driver.
+    """
+    dims = min(dims, BASIS_DIMENSIONS)
+    parts = vectors.select("v").mapInArrow(_moments(dims), "at long, to long, x double")
+    sums = parts.groupBy("at", "to").agg(F.sum("x").alias("x")).toArrow()  # dims * dims numbers
     gram = np.zeros((dims, dims))
-    for at, to, x in entries.collect():  # dims * dims numbers, whatever the number of vectors
-        gram[at, to] = x
+    gram[sums.column("at").to_numpy(), sums.column("to").to_numpy()] = sums.column("x").to_numpy()
     return np.linalg.eigh(gram)[1][:, ::-1].copy()
 
 
-def exact_products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Integer inner products; float64 where all sums are exact, whole Python numbers beyond, cut to 64 bits."""
-    reach = np.abs(left).max(initial=0) * np.abs(right).max(initial=0) * left.shape[-1]
-    if reach < _EXACT:
-        return (left @ right.T).astype(np.int64)
-    whole = np.vectorize(int, otypes=[object])
-    products = whole(left) @ whole(right).T
-    edge = 1 << 63
-    return np.vectorize(lambda x: max(-edge, min(edge - 1, x)), otypes=[np.int64])(products)
-
-
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best, higher score first, then smaller id."""
-    return np.lexsort((ids, -scores))[:k]
-
-
-def _search(queries: pd.DataFrame, block: pd.DataFrame, axes: np.ndarray, k: int, leading: int) -> pd.DataFrame:
-    """Hits of the queries in one block that can still be among the k best, k a query at most."""
-    dims = len(axes)
-    q, c = _matrix(queries["v"], dims), _matrix(block["v"], dims)
-    ids, nameless = block["id"].to_numpy(), block["nameless"].to_numpy()
-    own = queries["id"].to_numpy()
-    floor = queries["floor"].to_numpy(np.float64)
-    turned_q, turned_c = q @ axes, c @ axes
-    bound = turned_q[:, :leading] @ turned_c[:, :leading].T
-    rest_q = np.linalg.norm(turned_q[:, leading:], axis=1)
-    rest_c = np.linalg.norm(turned_c[:, leading:], axis=1)
-    bound += np.outer(rest_q, rest_c)
-    # Rotating rounds; a relative margin on the lengths keeps the bound an upper one.
-    bound += 1e-9 * np.outer(np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)) + 1e-6
-    parts = []
-    for i in range(len(q)):
-        near = np.flatnonzero((bound[i] >= floor[i]) & ((ids != own[i]) | nameless))
-        if not len(near):
-            continue
-        scores = exact_products(q[i : i + 1], c[near])[0]
-        top = _best(scores, ids[near], k)
-        at = near[top]
-        values = (queries["uid"].iloc[i], own[i], ids[at], nameless[at], scores[top])
-        parts.append(pd.DataFrame(dict(zip(_HIT_COLUMNS, values))))
-    return pd.concat(parts) if parts else pd.DataFrame(columns=_HIT_COLUMNS)
-
-
-def top_k(vectors: DataFrame, query: str = "vec_id % 20 = 0", k: int = K, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _sketch(v: np.ndarray, axes: np.ndarray, leading: int, margin: float) -> np.ndarray:
+    """Leading axes, remaining length, and the length for a margin: the product of two sketches bounds that of the vectors.
+
+    Rotating rounds; a relative margin on the lengths, put on one side, keeps the bound an upper one.
+    """
+    turned = np.hstack([v[:, : len(axes)] @ axes, v[:, len(axes) :]])
+    rest = np.linalg.norm(turned[:, leading:], axis=1)
+    return np.hstack([turned[:, :leading], rest[:, None], margin * np.linalg.norm(v, axis=1)[:, None]])
+
+
+def _offer(best: Leaders, row: np.ndarray, score: np.ndarray, id: np.ndarray, nameless: np.ndarray) -> None:
+    enters = best.may_enter(row, score, id)
+    if enters.any():
+        best.offer(row[enters], score[enters], id[enters], nameless[enters])
+
+
+def _dense(best: Leaders, mine: np.ndarray, scores: np.ndarray, other: np.ndarray, id: np.ndarray, nameless: np.ndarray):
+    """Offer a whole tile: the k best of each of its rows and their equals."""
+    suits = other
+    if scores.dtype != object and scores.shape[1] > best.k:
+        kth = np.partition(np.where(other, scores, -np.inf), -best.k, axis=1)[:, -best.k]
+        suits = other & (scores >= np.maximum(kth, best.floor[mine])[:, None])
+    row, at = np.nonzero(suits)
+    _offer(best, mine[row], scores[row, at], id[at], nameless[at])
+
+
+def _search(held, axes: np.ndarray, dims: int, reach: float, k: int, leading: int, block_rows: int, opening: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uids, ids, q, floors = held.value
+        wide = reach >= _EXACT
+        best = Leaders(len(uids), k, wide)
+        best.floor[:] = floors
+        lengths = np.linalg.norm(q, axis=1)
+        asked = _sketch(q, axes, leading, _MARGIN)
+        stream = blocks(batches, block_rows if opening is None else min(block_rows, opening))
+        for block in stream if opening is None else islice(stream, 1):
+            c = matrix(block.column("v"), dims)
+            id = block.column("id").to_numpy()
+            nameless = block.column("nameless").to_numpy(zero_copy_only=False)
+            known = _sketch(c, axes, leading, 1.0)
+            longest = np.linalg.norm(c, axis=1).max(initial=0.0)
+            for start in range(0, len(uids), TILE_ROWS):
+                mine = np.arange(start, min(start + TILE_ROWS, len(uids)))
+                if not wide:
+                    mine = mine[lengths[mine] * longest * (1 + _MARGIN) + 1 >= best.floor[mine]]
+                    if not len(mine):
+                        continue
+                    near = asked[mine] @ known.T >= (best.floor[mine] - 1e-6)[:, None]
+                    share = np.count_nonzero(near) / near.size
+                    if share <= DENSE_SHARE:
+                        row, at = np.nonzero(near)
+                        clear = (ids[mine[row]] != id[at]) | nameless[at]
+                        row, at = mine[row[clear]], at[clear]
+                        scores = np.einsum("ij,ij->i", q[row], c[at])
+                        _offer(best, row, scores, id[at], nameless[at])
+                        continue
+                other = (ids[mine, None] != id) | nameless
+                _dense(best, mine, products(q[mine], c, reach), other, id, nameless)
+        if best.columns:
+            group, score, id, nameless = best.columns
+            columns = [pa.array(uids[group]), pa.array(ids[group]), pa.array(id), pa.array(nameless), *score_columns(score)]
+            yield pa.RecordBatch.from_arrays(columns, names=_HIT_COLUMNS)
+
+    return run
+
+
+def _ranked(hits: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("uid").orderBy(*by_score()))
+    return hits.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def top_k(
+    vectors: DataFrame, query: str = "vec_id % 20 = 0", k: int = K, block_rows: int = BLOCK_ROWS, leading: int = LEADING
+) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row its k best other rows.
 
     `vectors` needs vec_id and embedding; `query` is a condition on vec_id that is false for null. Components become
-    floor(64 * x). Vectors that are null or hold a null, NaN or infinite component take no part. Shorter vectors
-    count as padded with zeros. Rows with the query's own id are not its candidates; of repeated query rows each is a
-    query, of which results of equal id and vector are the same. Candidates of null id come last among
-    equal scores. Scores beyond 64 bits are cut to the range.
+    floor(64 * x). Vectors that are null or hold a null, NaN or infinite component take no part; an empty table has an empty
+    result. Shorter vectors count as padded with zeros. Rows with the query's own id are not its candidates; of repeated
+    query rows each is a query, of which results of equal id and vector are the same. Candidates of null id come last
+    among equal scores. Ranks follow the exact products, whatever their size; a score beyond 64 bits is cut to the
+    range when it is returned.
     """
-    # pandas turns whole numbers beside nulls into floats, so a missing id is a flag.
+    spark = vectors.sparkSession
     named = vectors.select(
-        F.coalesce(F.col("vec_id").cast("long"), F.lit(_NO_ID)).alias("id"),
-        F.col("vec_id").isNull().alias("nameless"),
-        F.coalesce(F.expr(query), F.lit(False)).alias("asks"),
-        "embedding",
-    )
-    whole = stored(named.mapInPandas(scaled, "id long, nameless boolean, asks boolean, length double, dims int, v binary"), "scaled")
-    rows, dims = whole.agg(F.count(F.lit(1)), F.coalesce(F.max("dims"), F.lit(0))).first()
-    if dims > MOST_DIMENSIONS:
-        raise ValueError(f"vectors of up to {MOST_DIMENSIONS} components are supported, found {dims}")
-    axes = basis(whole, max(dims, 1)) if rows else np.eye(1)
-    blocks = max(1, -(-rows // block_rows))
-    ordered = whole.repartitionByRange(blocks, F.desc("length"), F.asc("id"), F.asc("v"))
-    ordered = stored(
-        ordered.withColumn("block", F.spark_partition_id()).withColumn("uid", F.monotonically_increasing_id()), "blocks"
-    )
-    # Queries need the longest length of a block, or of a run of blocks where there are more than LEVELS.
-    run = -(-blocks // LEVELS)
-    tops = ordered.groupBy((F.col("block") / run).cast("int").alias("level")).agg(F.max("length").alias("top"))
-    tops = sorted(tuple(row) for row in tops.collect())  # LEVELS rows at most
-
-    queries = ordered.where("asks and not nameless").select("uid", "id", "length", "v")
-    parts = max(1, -(-rows // (20 * block_rows)))
-    chunks = F.pmod(F.xxhash64("uid"), F.lit(parts))
-    numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
-    first = ordered.where(F.col("block") == 0).select("id", "nameless", "v")
-
-    def side(df: DataFrame, is_query: bool) -> DataFrame:
-        filled = {"uid": "long", "floor": "double", "nameless": "boolean"}
-        for name, kind in filled.items():
-            if name not in df.columns:
-                df = df.withColumn(name, F.lit(None).cast(kind))
-        return df.select("block", "chunk", "uid", "id", "nameless", "v", "floor", F.lit(is_query).alias("is_query"))
-
-    def run_search(group: pd.DataFrame) -> pd.DataFrame:
-        asked = group[group["is_query"]].reset_index(drop=True)
-        known = group[~group["is_query"]].reset_index(drop=True).astype({"nameless": bool})
-        if asked.empty or known.empty:
-            return pd.DataFrame(columns=_HIT_COLUMNS)
-        # Chunks are even by hash only; a few queries at a time bound the matrices.
-        found = [_search(asked.iloc[i : i + 512], known, axes, k, LEADING) for i in range(0, len(asked), 512)]
-        return pd.concat(found)
-
-    def meet(asked: DataFrame, known: DataFrame) -> DataFrame:
-        both = side(asked, True).unionByName(side(known, False))
-        return both.groupBy("block", "chunk").applyInPandas(run_search, _HITS)
-
-    chunked = queries.withColumn("chunk", chunks)
-    opening = chunked.withColumns({"block": F.lit(0), "floor": F.lit(float("-inf"))})
-    hits = stored(meet(opening, first.withColumns({"block": F.lit(0), "chunk": numbers})), "opening")
-
-    # The k-th score so far; a query with fewer hits looks everywhere.
-    floors = hits.groupBy("uid").agg(F.when(F.count(F.lit(1)) >= k, F.min("score").cast("double")).alias("floor"))
-    floors = queries.join(floors, "uid", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    levels = [level for level, _ in tops]
-    longest = [top for _, top in tops]
-    reach = F.size(
-        F.filter(
-            F.array(*(F.lit(x) for x in longest)) if longest else F.array().cast("array<double>"),
-            lambda top: F.col("length") * top * (1 + 1e-9) + 1e-6 >= F.col("floor"),
-        )
+        *identity(), F.coalesce(F.expr(query), F.lit(False)).alias("asks"), F.monotonically_increasing_id().alias("uid"), "embedding"
     )
-    # Lengths fall from level to level, so the levels a query needs are the leading ones.
-    wanted = floors.withColumn("chunk", chunks).withColumn("reach", F.least(reach, F.lit(len(levels))))
-    last = F.least((F.col("reach") * run).cast("int"), F.lit(blocks)) - 1
-    wanted = wanted.where(last >= 1).withColumn("block", F.explode(F.sequence(F.lit(1), last)))
-    wanted = stored(wanted.select("block", "chunk", "uid", "id", "v", "floor"), "wanted")
-    pairs = wanted.select("block", "chunk").distinct()
-    known = ordered.where("block > 0").select("block", "id", "nameless", "v").join(pairs, "block")
-    hits = hits.unionByName(meet(wanted, known))
-
-    by_score = Window.partitionBy("uid").orderBy(F.desc("score"), F.asc("id"), F.asc("nameless"))
-    ranked = hits.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.when(~F.col("nameless"), F.col("id")).alias("vec_id"), "score")
+    whole = whole_vectors(named, SCALE, "scaled")
+    rows, dims, reach = reach_of(whole)
+    dims = max(dims, 1)
+    axes = basis(whole, dims) if rows else np.eye(1)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // PARTITION_ROWS))
+    ordered = whole.select("id", "nameless", "v", length_of("v").alias("length"))
+    by_length = [F.desc("length"), F.asc("id")]
+    ordered = stored(ordered.repartitionByRange(parts, *by_length).sortWithinPartitions(*by_length), "ordered")
+    ordered = ordered.select("id", "nameless", "v")
+
+    queries = whole.where("asks AND NOT nameless").select("uid", "id", "v")
+    queries, n = chunked(queries, queries.count(), dims)
+    found = None
+    for chunk in range(n):
+        asked = queries.where(F.col("chunk") == chunk)
+        floors = None
+        for opening in (OPENING_ROWS, None):
+            table = asked if floors is None else asked.join(floors, "uid", "left")
+            table = table.toArrow()  # CHUNK_BYTES of vectors, a parameter
+            floor = np.full(table.num_rows, -np.inf, object if reach >= _EXACT else np.float64)
+            if floors is not None:
+                for i, (score, exact) in enumerate(zip(table.column("score").to_pylist(), table.column("exact").to_pylist())):
+                    if score is not None:
+                        floor[i] = score if exact is None else from_sortable(exact)
+            columns = [table.column(c).to_numpy() for c in ("uid", "id")]
+            held = spark.sparkContext.broadcast((*columns, matrix(table.column("v"), dims), floor))
+            search = _search(held, axes, dims, reach, k, leading, block_rows, opening)
+            hits = stored(ordered.mapInArrow(search, _HITS), f"hits_{chunk}")
+            held.destroy()
+            floors = _ranked(hits, k).where(F.col("rank") == k).select("uid", "score", "exact")
+        found = hits if found is None else found.unionByName(hits)
+    return _ranked(found, k).select("query_id", "rank", F.when(~F.col("nameless"), F.col("id")).alias("vec_id"), "score")

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from quorica.llm import topk, url_filter
+from quorica.llm import topk, url_filter, vectors
 from quorica.llm.common import prepared
 
 VECTORS = "vec_id long, embedding array<float>, score string, block string, uid string"
@@ -57,8 +57,32 @@ def test_odd_vectors(spark):
 
 
 def test_products_beyond_floats(spark):
-    rows = [(i, [float(2**27 + i), float(2**26), -3.0]) for i in range(25)]
+    """The order is exact at any size; a score beyond 64 bits is returned as the edge of the range."""
+    rows = [(i, [float(2**22 + i), float(2**21), -3.0]) for i in range(45)]
     assert found(spark, rows, k=3) == brute_top(rows, 3)
+    rows = [(i, [float(2**27 + 16 * i), float(2**26), -3.0]) for i in range(45)]
+    edge = (1 << 63) - 1
+    assert found(spark, rows, k=3) == sorted(str(eval(r)[:3] + (edge,)) for r in brute_top(rows, 3))
+
+
+@pytest.mark.parametrize("leading", [1, 4, 16])
+@pytest.mark.parametrize("parts", [1, 4, 64])
+def test_any_number_of_partitions_and_axes(spark, monkeypatch, parts, leading):
+    """Results don't depend on how many partitions the range shuffle gives, nor on tiles, chunks and the basis."""
+    monkeypatch.setattr(topk, "TILE_ROWS", 7)
+    monkeypatch.setattr(topk, "OPENING_ROWS", 10)
+    monkeypatch.setattr(topk, "BASIS_DIMENSIONS", 12)
+    monkeypatch.setattr(vectors, "CHUNK_BYTES", 16 * 8 * 9)
+    draw = random.Random(parts)
+    scale = [2.0 ** -j for j in range(16)]
+    rows = [(i, [draw.gauss(0, 1) * s for s in scale]) for i in range(400)]
+    rows += [(1000 + i, rows[40][1]) for i in range(200)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        assert found(spark, rows, k=5, block_rows=32, leading=leading) == brute_top(rows, 5)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def urls():
