@@ -35,19 +35,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+def bucketed(df: DataFrame, name: str, key: str, least: int) -> DataFrame:
     """Like `stored`, in buckets of `key`: grouping by it reads the buckets where they are instead of shuffling.
 
-    Twice as many buckets as shuffle partitions, as Spark ignores a bucketing with fewer. The table is
-    external, its files are in the shared folder.
+    `least` buckets, and twice as many as shuffle partitions, as Spark ignores a bucketing with fewer; at most what Spark
+    allows, beyond which buckets grow. The files are in the shared folder; the table that describes
+    them leaves the catalogue at once, the frame has read the description.
     """
     spark = df.sparkSession
     unique = uuid.uuid4().hex
     path = f"{shared_dir(spark)}/llm/{unique}/{name}"
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    buckets = min(max(least, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))), most)
     table = f"llm_{name}_{unique}"
     df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").saveAsTable(table)
-    return spark.table(table)
+    made = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return made
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+import regex
 import tiktoken
 from fixtures import (
     BIG_ID,
@@ -303,3 +304,82 @@ def test_licenses_despite_holder_spelling_and_wrapping(spark):
     ).collect()}
     assert got[1][0] == "MIT" and got[2][0] == "MIT"
     assert got[3][0] is None and got[4] == (None, "MIT") and got[5] == (None, "")
+
+
+def plain_merge(word, ranks):
+    """Byte pairs by the definition: the lowest rank, the leftmost of equals, until none is left."""
+    if word in ranks:
+        return [ranks[word]]
+    parts = [bytes([b]) for b in word]
+    while True:
+        found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+        if not found:
+            return [ranks[p] for p in parts]
+        i = min(found)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def untrained_ranks(seed):
+    """Tokens whose ranks don't follow any order of training, so that a merge can make a pair of lower rank."""
+    draw = random.Random(seed)
+    tokens = {bytes([b]) for b in range(256)} | {bytes(draw.choice(b"ab") for _ in range(draw.randint(2, 6))) for _ in range(60)}
+    order = sorted(tokens)
+    draw.shuffle(order)
+    return {token: rank for rank, token in enumerate(order)}
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_merging_follows_the_definition(seed):
+    draw = random.Random(seed)
+    vocabulary = bpe.Vocabulary(untrained_ranks(seed), ".+")
+    words = [bytes(draw.choice(b"aabbc") for _ in range(draw.randint(1, 150))) for _ in range(200)] + [b"\x00\xff", b"", b"a"]
+    got = bpe.merge_words(words, vocabulary.ranks, vocabulary.pairs())
+    assert [ids.tolist() for ids in got] == [plain_merge(word, vocabulary.ranks) for word in words]
+    assert all(bpe.merge_long(w, vocabulary.ranks) == plain_merge(w, {k: r for k, r in vocabulary.ranks.items() if k != w}) for w in words if w not in vocabulary.ranks)
+
+
+def test_merging_agrees_with_the_library(vocabulary):
+    coder = tiktoken.Encoding("words", pat_str=vocabulary.pattern, mergeable_ranks=vocabulary.ranks, special_tokens={})
+    draw = random.Random(3)
+    words = [prose(i, 1) for i in range(300)] + ["".join(chr(draw.choice([97, 233, 0x4E2D, 0x1F600])) for _ in range(n)) for n in range(1, 90)]
+    got = bpe.merge_words([w.encode() for w in words], vocabulary.ranks, vocabulary.pairs())
+    for word, ids in zip(words, got):
+        if len(regex.findall(vocabulary.pattern, word)) == 1:
+            assert ids.tolist() == coder.encode_ordinary(word)
+
+
+def test_texts_are_cut_only_where_the_pattern_cuts(vocabulary):
+    assert vocabulary.space_starts_word and not bpe.Vocabulary({}, r"\S+|\s+").space_starts_word
+    draw = random.Random(4)
+    white = " \n\t\r\x0b\x0c\x1c\x1f\x85\xa0  　"
+    for _ in range(3000):
+        text = "".join(draw.choice([" ", " ", draw.choice(white), "a", "b", "9", "'", "s", "é", "!", "中"]) for _ in range(draw.randint(0, 14)))
+        first, *rest = bpe._pieces(text)
+        pieces = [first, *(" " + piece for piece in rest)]
+        assert "".join(pieces) == text
+        assert [w for p in pieces for w in regex.findall(vocabulary.pattern, p)] == regex.findall(vocabulary.pattern, text)
+
+
+def test_other_patterns_see_whole_texts(spark, vocabulary):
+    docs = spark.createDataFrame([(1, "one  two three"), (2, ""), (3, None)], "doc_id long, text string")
+    other = bpe.Vocabulary(vocabulary.ranks, r"\S+\s\S+|\s+|\S+")
+    coder = tiktoken.Encoding("words", pat_str=other.pattern, mergeable_ranks=other.ranks, special_tokens={})
+    got = {r.doc_id: list(r.ids) for r in bpe.encode(docs, other).collect()}
+    assert got == {1: coder.encode_ordinary("one  two three"), 2: [], 3: []}
+
+
+def test_ids_outside_the_vocabulary_have_no_bytes(spark, vocabulary):
+    rows = [(1, [-1, 0]), (2, [0, 10**9]), (3, [0, 1]), (4, []), (5, None), (6, [0, None])]
+    decoded = bpe.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>"), vocabulary).collect()
+    by_rank = {rank: token for token, rank in vocabulary.ranks.items()}
+    assert {r.doc_id: r.decoded for r in decoded} == {1: None, 2: None, 3: by_rank[0] + by_rank[1], 4: b"", 5: None, 6: None}
+
+
+def test_round_trip_leaves_no_table_behind(spark, vocabulary, odd):
+    before = {t.name for t in spark.catalog.listTables()}
+    both = bpe.round_trip(odd, vocabulary)
+    rows = both.collect()
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert len(rows) == odd.count() and all(bytes(r.decoded) == bytes(r.decoded) for r in rows)
+    again = bpe.decode(both.select("doc_id", "ids"), vocabulary)
+    assert sorted(map(str, again.select("doc_id", "decoded").collect())) == sorted(map(str, both.select("doc_id", "decoded").collect()))
