@@ -156,10 +156,11 @@ class Forum:
 
 @dataclass(frozen=True)
 class Layout:
-    """How a layer is stored: grain of its date partitions, if any, and sort keys."""
+    """How a layer is stored: grain of its date partitions, if any, and sort keys, or the key of its buckets."""
 
     grain: str | None = None
     cluster: tuple[str, ...] = ()
+    bucket: str | None = None
 
 
 # In build order: each layer is computed from the written ones before it.
@@ -176,6 +177,16 @@ LAYOUTS = {
     "error_patterns": Layout(),
     "keyword_frequency": Layout(),
 }
+# The corpus by post instead of by date: what belongs to a question is in the bucket of its number, so
+# joins and groupings by question move nothing.
+COLOCATED = LAYOUTS | {
+    "questions": Layout(bucket="id"),
+    "answers": Layout(bucket="parent_id"),
+    "comments": Layout(bucket="post_id"),
+}
+BUCKET_BYTES = 256 << 20
+LEAST_BUCKETS = 8
+HOT_SHARE = 2.0
 CORPUS = ("questions", "answers", "users", "comments", "tags")
 
 
@@ -184,8 +195,26 @@ def coarser(grain: str) -> dict[str, Layout]:
     return {n: replace(layout, grain=grain) if layout.grain else layout for n, layout in LAYOUTS.items()}
 
 
-def _write(df: DataFrame, layout: Layout, path: str) -> None:
-    if layout.grain:
+def _bucket_count(store: Store, raw: ForumTables) -> int:
+    """The same number for all tables of a store, a power of two, from the bytes of the raw ones."""
+    wanted = store.volume(raw.questions, raw.answers, raw.comments) // BUCKET_BYTES
+    return max(LEAST_BUCKETS, 1 << max(0, wanted - 1).bit_length())
+
+
+def _even_enough(df: DataFrame, key: str, buckets: int) -> bool:
+    """Whether no key holds more than HOT_SHARE buckets' worth of rows.
+
+    One task reads a whole bucket, so a table with a hotter key is stored without buckets: its joins
+    shuffle, and adaptive execution splits the key.
+    """
+    held = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    return held[0] is None or held[0] * buckets <= HOT_SHARE * held[1]
+
+
+def _write(df: DataFrame, layout: Layout, buckets: int | None, path: str) -> None:
+    if buckets:
+        sinks.write_bucketed(df, path, layout.bucket, buckets)
+    elif layout.grain:
         sinks.write_by_date(df, path, sinks.PARTITIONS[layout.grain], layout.grain, layout.cluster)
     else:
         df.write.parquet(path)
@@ -240,17 +269,23 @@ def publish(
     done = store.progress()
     tables: dict[str, Entry] = {}
     steps = []
+    bucketed = any(layout.bucket for layout in layouts.values())
+    n_buckets = _bucket_count(store, raw) if bucketed else None
     for name, layout in layouts.items():
         start = time.perf_counter()
         forum = Forum(raw, scope, {n: partial(_plain, store, n, entry) for n, entry in tables.items()})
         df = getattr(forum, name)
-        fingerprint = store.fingerprint(df, [_selection(scope), asdict(layout)], input_version)
+        made = [_selection(scope), asdict(layout), layout.bucket and n_buckets]
+        fingerprint = store.fingerprint(df, made, input_version)
         entry = done.get(name)
         written = entry is None or fingerprint is None or entry.fingerprint != fingerprint or not store.is_whole(name, entry)
         if written:
-            entry = store.write(name, partial(_write, df, layout), fingerprint, asdict(layout))
+            fits = layout.bucket and _even_enough(df, layout.bucket, n_buckets)
+            buckets = n_buckets if fits else None
+            stored_as = asdict(layout) | {"buckets": buckets}
+            entry = store.write(name, partial(_write, df, layout, buckets), fingerprint, stored_as)
             if name in ("answers", "comments") and "questions" in tables:
-                stored = Forum(raw, scope, forum.stored | {name: partial(_plain, store, name, entry)})
+                stored = Forum(None, scope, forum.stored | {name: partial(_plain, store, name, entry)})
                 entry = replace(entry, notes=_leads(stored, name))
             store.note_progress({**done, **tables, name: entry})
         tables[name] = entry

@@ -7,6 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Partition column of each grain.
 PARTITIONS = {"day": "creation_day", "month": "creation_month"}
@@ -61,6 +62,29 @@ def write_by_date(
     )
 
 
+def write_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> None:
+    """One sorted file for each bucket of the key. The table that describes them doesn't stay in the catalogue."""
+    spark = df.sparkSession
+    table = f"written_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, key).sortWithinPartitions(key)
+    dealt.write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table)
+    spark.sql(f"DROP TABLE {table}")
+
+
+def read_bucketed(spark: SparkSession, path: str, schema: StructType, key: str, buckets: int) -> DataFrame:
+    """Files of `write_bucketed`; joins and groupings by the key read the buckets where they are."""
+    table = f"read_{uuid.uuid4().hex}"
+    columns = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in schema)
+    quoted = path.replace("'", "\\'")
+    spark.sql(
+        f"CREATE TABLE {table} ({columns}) USING parquet "
+        f"CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{quoted}'"
+    )
+    df = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the frame has read the description; the files stay
+    return df
+
+
 def in_window(
     df: DataFrame, start: str | datetime | None, end: str | datetime | None, timestamp: str = "creation_date"
 ) -> Column:

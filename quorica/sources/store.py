@@ -21,6 +21,8 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from quorica.sources.sinks import read_bucketed
+
 _EXPRESSION_ID = re.compile(r"#\d+L?")
 # Inputs without files of which Spark would tell us: rows in memory, and tables inside subqueries.
 _UNNAMED_INPUT = re.compile(r"\b(LocalRelation|LogicalRDD|ExternalRDD|Range|\w+-subquery)\b")
@@ -132,6 +134,9 @@ class Store:
 
     def read(self, name: str, entry: Entry) -> DataFrame:
         """One version with the schema it was written with; nothing is inferred from files."""
+        if buckets := entry.layout.get("buckets"):
+            path = self.path_of(name, entry.version)
+            return read_bucketed(self.spark, path, entry.struct, entry.layout["bucket"], buckets)
         return self.spark.read.schema(entry.struct).parquet(self.path_of(name, entry.version))
 
     def drop_unused(self) -> list[str]:
@@ -152,6 +157,24 @@ class Store:
             self.files.drop(folder)
         return gone
 
+    def _status(self, files: list[str]) -> list[list]:
+        """Folder, name, length and time of each file, from one listing per folder."""
+        folders: dict[str, set[str]] = {}
+        for file in files:
+            folder, name = file.rsplit("/", 1)
+            folders.setdefault(folder, set()).add(name)
+        return sorted(
+            [folder, status.getPath().getName(), status.getLen(), status.getModificationTime()]
+            for folder, names in folders.items()
+            for status in Files(self.spark, folder).listed(folder)
+            if status.getPath().getName() in names
+        )
+
+    def volume(self, *frames: DataFrame) -> int:
+        """Bytes of the files the frames read; 0 for frames without files."""
+        files = sorted({file for df in frames for file in df.inputFiles()})
+        return sum(length for _, _, length, _ in self._status(files))
+
     def fingerprint(self, df: DataFrame, given: object, input_version: str | None) -> str | None:
         """What a table is made from: the steps of its plan, `given`, and the versions and files it reads.
 
@@ -161,19 +184,13 @@ class Store:
         plan = _EXPRESSION_ID.sub("", df._jdf.queryExecution().analyzed().toString())
         if input_version is None and _UNNAMED_INPUT.search(plan):
             return None
-        versions, folders = set(), {}
+        versions, outside = set(), []
         inside = re.compile(re.escape(f"{self.files.path(self.root).toUri().getPath()}/") + r"([^/]+/[^/]+)/")
         for file in df.inputFiles():
             if own := inside.search(file):
                 versions.add(own.group(1))
             elif input_version is None:
-                folder, name = file.rsplit("/", 1)
-                folders.setdefault(folder, set()).add(name)
-        raw = sorted(
-            [folder, status.getPath().getName(), status.getLen(), status.getModificationTime()]
-            for folder, names in folders.items()
-            for status in Files(self.spark, folder).listed(folder)
-            if status.getPath().getName() in names
-        )
+                outside.append(file)
+        raw = self._status(outside)
         text = json.dumps([plan, given, input_version, sorted(versions), raw], sort_keys=True, default=str)
         return hashlib.sha256(text.encode()).hexdigest()

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from conftest import SF_DIR
-from quorica.operators import selection
-from quorica.plans.forum import LAYOUTS, Forum, Scope, coarser, covers, open_published, publish
+from quorica.operators import marts, selection
+from quorica.plans.forum import COLOCATED, LAYOUTS, Forum, Scope, coarser, covers, open_published, publish
 from quorica.sources import sinks
 from quorica.sources.store import Store
 from quorica.sources.tables import ForumTables, read_forum
@@ -191,3 +191,50 @@ def test_early_answers_move_the_edge_of_the_folders(spark, raw_rows, tmp_path):
         assert sorted(r.id for r in getattr(stored, name).collect()) == sorted(r.id for r in getattr(fresh, name).collect())
     edge = [line for line in plan_of(stored.answers).split("\n") if "PartitionFilters" in line and "2021-01-30" in line]
     assert edge
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    for key in keys:
+        spark.conf.set(key, "-1")
+    yield
+    for key in keys:
+        spark.conf.unset(key)
+
+
+def test_colocated_corpus_joins_without_exchange(spark, raw_rows, tmp_path, no_broadcast):
+    raw_dir, root = str(tmp_path / "raw"), str(tmp_path / "forum")
+    write_raw(raw_rows, raw_dir, 200)
+    scope = replace(SCOPE, end="2021-12-31")
+    before = {t.name for t in spark.catalog.listTables()}
+    publish(read_forum(spark, raw_dir), scope, spark, root, COLOCATED)
+    assert {n: e.layout["buckets"] for n, e in Store(spark, root).published()[1].items() if e.layout["buckets"]} == {
+        "questions": 8, "answers": 8, "comments": 8,
+    }
+    same, narrow = open_published(spark, root, scope), open_published(spark, root, replace(scope, end="2021-06-01"))
+    assert {t.name for t in spark.catalog.listTables()} == before
+    fresh = Forum(read_forum(spark, raw_dir), narrow.scope)
+    # Selection of answers (S2), first answers (M1), and their join with the questions of the mart (M2).
+    first = marts.first_answer(same.stg_answers)
+    joined = same.stg_questions.join(first, "question_id", "left")
+    for df in (narrow.answers, first, joined):
+        assert "Exchange" not in plan_of(df)
+    # Comments (S4) stay where they are; only ids of posts move.
+    moved = plan_of(narrow.comments)
+    assert "hashpartitioning(post_id" not in moved and "hashpartitioning(target_id" in moved
+    for name in ("answers", "comments", "dim_questions"):
+        stored = sinks.without_partitions(getattr(narrow, name))
+        assert sorted(map(str, stored.collect())) == sorted(map(str, getattr(fresh, name).collect()))
+    assert publish(read_forum(spark, raw_dir), scope, spark, root, COLOCATED)[0].written is False
+
+
+def test_a_hot_post_keeps_its_table_out_of_buckets(spark, raw_rows, tmp_path):
+    raw_dir, root = str(tmp_path / "raw"), str(tmp_path / "forum")
+    write_raw(raw_rows, raw_dir, 60)
+    hot = [{"id": 5000 + i, "parent_id": 3, "creation_date": datetime(2021, 2, 1)} for i in range(80)]
+    raw_rows("answers", *hot).write.mode("append").parquet(f"{raw_dir}/answers")
+    publish(read_forum(spark, raw_dir), SCOPE, spark, root, {n: COLOCATED[n] for n in ("questions", "answers")})
+    tables = Store(spark, root).published()[1]
+    assert tables["questions"].layout["buckets"] == 8 and tables["answers"].layout["buckets"] is None
+    assert open_published(spark, root, SCOPE).answers.count() == Forum(read_forum(spark, raw_dir), SCOPE).answers.count()
