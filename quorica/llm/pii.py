@@ -1,13 +1,13 @@
 """Personal data: fixed patterns, and more of the same kind found by bootstrapped contexts.
 
-1. The fixed patterns give seed entities. Every identifier-like word and every seed is an instance, and the
-   words before it are lexical patterns (one word, two words).
+1. The fixed patterns give seed entities. Every identifier-like word and every seed is a mention of an instance, and the
+   words before it are lexical patterns (one word, two words). One pass over the texts writes all mentions, with keys
+   of their rows instead of texts.
 2. Patterns and instances form a bipartite graph. Spark scores it in rounds: a pattern is worth the mean score of its
-   instances for a kind, an instance that is no seed is worth the noisy-or of its patterns.
-3. Patterns of high score find identifiers that the fixed patterns miss.
-
-A pattern needs the support of 1/10,000 of all seeds (five at least), so at most 10,000 patterns of either
-length can pass whatever the size of the corpus; this is the bound on what is sent to the tasks.
+   instances for a kind, an instance that is no seed is worth the noisy-or of its patterns. A pattern needs the support of
+   LEAST_SUPPORT seeds, however many there are in all.
+3. Patterns of high score meet the mentions again in a join and find identifiers that the fixed patterns miss; these are
+   grouped by row and go back to the texts. Neither patterns nor identifiers pass through the driver.
 """
 
 from __future__ import annotations
@@ -17,14 +17,14 @@ from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from quorica.llm.common import mapped, stored
+from quorica.llm.common import row_key, stored
 
 KINDS = ("email", "ip", "card", "phone")
 LEAST_SUPPORT = 5
-SUPPORT_SHARE = 10_000
 CONFIDENCE = 0.8
 ROUNDS = 3
 
@@ -46,7 +46,10 @@ _SHAPES = (
     ("phone", re.compile(r"[+(]?[0-9](?:[().-]?[0-9]){6,14}")),
 )
 _EDGES = ".,;:!?()[]{}<>\"'|*"
-_LOOK_BACK = 160
+_BETWEEN = _EDGES + "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+_RUN = re.compile(rf"[^{re.escape(_BETWEEN)}]*+")
+# Longer patterns are known by their digest.
+_LONG_PATTERN = 100
 
 
 def luhn(digits: str) -> bool:
@@ -89,11 +92,34 @@ def _place(span: Span) -> tuple[int, int, int]:
     return span[0], KINDS.index(span[2]), span[1]
 
 
-def _contexts(text: str, start: int) -> list[str]:
-    """The lexical patterns before a place: its last word, its last two words."""
-    words = [w.strip(_EDGES) for w in text[max(0, start - _LOOK_BACK) : start].lower().split()]
-    words = [w for w in words if w][-2:]
-    return [" ".join(words[-n:]) for n in (1, 2) if len(words) >= n]
+def _word_before(text: str, end: int) -> tuple[int, int]:
+    """Place of the last run of characters before `end` that are neither white nor edges; empty if there is none."""
+    size = 32
+    while True:
+        low = max(0, end - size)
+        part = text[low:end].rstrip(_BETWEEN)
+        run = _RUN.match(part[::-1]).end()
+        if low == 0 or run < len(part):
+            return low + len(part) - run, low + len(part)
+        size *= 4
+
+
+def _contexts(text: str, start: int, before: int) -> list[str]:
+    """The lexical patterns before a place: its last word, its last two words.
+
+    A word ends at white space, at punctuation and at the end `before` of an identifier it is glued to.
+    """
+    words, end = [], start
+    while len(words) < 2:
+        low, high = _word_before(text, end)
+        if low == high:
+            break
+        words.append(text[max(low, before) if not words and before <= high else low : high].lower())
+        if not words[-1]:
+            words.pop()
+        end = low
+    patterns = [" ".join(words[n - 1 :: -1]) for n in (1, 2) if len(words) >= n]
+    return [p if len(p) <= _LONG_PATTERN else f"#{xxhash.xxh3_128_hexdigest(p)}" for p in patterns]
 
 
 def _candidates(text: str, base: list[Span]) -> Iterator[tuple[int, int, list[str]]]:
@@ -106,41 +132,61 @@ def _candidates(text: str, base: list[Span]) -> Iterator[tuple[int, int, list[st
         end = start + len(word)
         while i < len(base) and base[i][1] <= start:
             i += 1
-        if not word or any(b[0] < end and b[1] > start for b in base[i : i + 8]):
+        # All later spans start behind this one.
+        if not word or (i < len(base) and base[i][0] < end):
             continue
         kinds = [kind for kind, shape in _SHAPES if shape.fullmatch(word)]
         if kinds:
             yield start, end, kinds
 
 
+def mentions_of(text: str) -> list[tuple[int, int, str, int, bool, list[str]]]:
+    """(start, end, kind, order of the kind among those the shape allows, is a seed, patterns) of all mentions in order."""
+    base = base_spans(text)
+    found = [(start, end, [kind], True) for start, end, kind in base]
+    found += [(start, end, kinds, False) for start, end, kinds in _candidates(text, base)]
+    out, before = [], 0
+    for start, end, kinds, seed in sorted(found):
+        around = _contexts(text, start, before)
+        out += [(start, end, kind, order, seed, around) for order, kind in enumerate(kinds)]
+        before = max(before, end)
+    return out
+
+
+_MENTION = ["key_id", "key_text", "first", "last", "kind", "place", "seed", "patterns", "instance"]
+
+
 def _observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for text in batch["text"]:
-            if not text:
-                continue
-            base = base_spans(text)
-            for start, end, kind in base:
-                key = xxhash.xxh3_64_intdigest(text[start:end].lower()) - (1 << 63)
-                rows += [(p, kind, key, 1) for p in _contexts(text, start)]
-            for start, end, kinds in _candidates(text, base):
-                key = xxhash.xxh3_64_intdigest(text[start:end].lower()) - (1 << 63)
-                rows += [(p, kind, key, 0) for p in _contexts(text, start) for kind in kinds]
-        yield pd.DataFrame(rows, columns=["pattern", "kind", "instance", "seed"])
-
-
-def learn_patterns(docs: DataFrame) -> DataFrame:
-    """(pattern, kind, score) of the patterns whose final score is high, learned from all texts.
-
-    The same identifier in several contexts links them; repeated rows count once. Without seeds there are none.
+        for key_id, key_text, text in zip(batch["key_id"], batch["key_text"], batch["text"]):
+            for start, *rest in mentions_of(text or ""):
+                instance = xxhash.xxh3_64_intdigest(text[start : rest[0]].lower()) - (1 << 63)
+                rows.append((key_id, key_text, start, *rest, instance))
+        yield pd.DataFrame(rows, columns=_MENTION)
+
+
+def mentions(docs: DataFrame) -> DataFrame:
+    """Every seed and identifier-like word of all texts, with the key of its row (id and text); written.
+
+    Repeated rows give repeated mentions of one key.
     """
-    seen = docs.select("text").mapInPandas(_observe, "pattern string, kind string, instance long, seed int")
-    edges = stored(
-        seen.groupBy("pattern", "kind", "instance").agg(F.max("seed").alias("seed")), "observed"
+    made = docs.select(*row_key(), "text").mapInPandas(
+        _observe,
+        "key_id long, key_text long, first int, last int, kind string, place int, seed boolean, patterns array<string>, "
+        "instance long",
     )
-    total = edges.where("seed = 1").select(F.count(F.lit(1))).first()[0]
-    least = max(LEAST_SUPPORT, -(-total // SUPPORT_SHARE))
-    backed = edges.groupBy("pattern", "kind").agg(F.sum("seed").alias("support")).where(F.col("support") >= least)
+    return stored(made, "mentions")
+
+
+def learn_patterns(seen: DataFrame, least_support: int = LEAST_SUPPORT) -> DataFrame:
+    """(pattern, kind, score) of the patterns whose final score is high, learned from all mentions.
+
+    The same identifier in several contexts links them; repeated mentions count once. Without seeds there are none.
+    """
+    edges = seen.select(F.explode("patterns").alias("pattern"), "kind", "instance", F.col("seed").cast("int").alias("seed"))
+    edges = stored(edges.groupBy("pattern", "kind", "instance").agg(F.max("seed").alias("seed")), "observed")
+    backed = edges.groupBy("pattern", "kind").agg(F.sum("seed").alias("support")).where(F.col("support") >= least_support)
     edges = stored(edges.join(backed.select("pattern", "kind"), ["pattern", "kind"]), "edges")
     worth = edges.select("kind", "instance", F.col("seed").cast("double").alias("worth")).distinct()
     for _ in range(ROUNDS):
@@ -160,49 +206,65 @@ def learn_patterns(docs: DataFrame) -> DataFrame:
     return scores.where(F.col("score") >= CONFIDENCE)
 
 
-def all_spans(text: str, patterns: frozenset[tuple[str, str]]) -> tuple[list[Span], list[Span]]:
-    """The base spans, and these with the identifiers that the patterns (pattern, kind) discover."""
-    base = base_spans(text)
-    if not patterns:
-        return base, base
-    more = []
-    for start, end, kinds in _candidates(text, base):
-        around = _contexts(text, start)
-        kind = next((k for k in kinds if any((p, k) in patterns for p in around)), None)
-        if kind:
-            more.append((start, end, kind))
-    return base, sorted(base + more, key=_place)
+def discovered(seen: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(key_id, key_text, more): the identifiers that the patterns (pattern, kind) discover in each row that has some.
+
+    `more` lists (first, last, kind) in order; of several kinds the first that the word's shape allows counts. It is as long as
+    the text has identifiers. Written, so that the joins with it go by its true size.
+    """
+    keys = ["key_id", "key_text"]
+    asked = seen.where("NOT seed").select(*keys, "first", "last", "kind", "place", F.explode("patterns").alias("pattern"))
+    found = asked.join(patterns.select("pattern", "kind").distinct(), ["pattern", "kind"], "left_semi")
+    spans = found.groupBy(*keys, "first", "last").agg(F.min(F.struct("place", "kind")).alias("kind"))
+    entry = F.struct("first", "last", F.col("kind.kind").alias("kind"))
+    return stored(spans.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("more")), "discovered")
 
 
-def collected(patterns: DataFrame) -> frozenset[tuple[str, str]]:
-    """The patterns as a set for the tasks; their number is bounded by the support they need."""
-    return frozenset((row[0], row[1]) for row in patterns.select("pattern", "kind").collect())
+_SPANS = "array<struct<first: int, last: int, kind: string>>"
+
+
+def _joined(spans: Column) -> Column:
+    """Spans by start, then kind as in KINDS, as `kind:start:end` joined by commas."""
+    order = F.array(*map(F.lit, KINDS))
+    placed = F.transform(
+        spans, lambda s: F.struct(s["first"].alias("first"), F.array_position(order, s["kind"]).alias("kind"), s["last"].alias("last"))
+    )
+    listed = F.transform(
+        F.array_sort(placed), lambda s: F.concat_ws(":", F.element_at(order, s["kind"].cast("int")), s["first"], s["last"])
+    )
+    return F.array_join(listed, ",")
 
 
-def _joined(spans: list[Span]) -> str:
-    return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
+def _with_more(rows: DataFrame, docs: DataFrame, least_support: int) -> DataFrame:
+    seen = mentions(docs)
+    more = discovered(seen, learn_patterns(seen, least_support))
+    return rows.join(more, ["key_id", "key_text"], "left").withColumn("more", F.coalesce("more", F.array().cast(_SPANS)))
 
 
-def find(docs: DataFrame, patterns: frozenset[tuple[str, str]]) -> DataFrame:
+def find(docs: DataFrame, least_support: int = LEAST_SUPPORT) -> DataFrame:
     """Spans of every text: doc_id, base and all as `kind:start:end` joined by commas, and base counts by kind.
 
-    Offsets are code points, the end is exclusive. A null text counts as empty. Repeated rows give
-    repeated results; other columns of `docs` are ignored.
+    Offsets are code points, the end is exclusive. Spans of different kinds may overlap; they come by start, then kind.
+    A null text counts as empty, an empty table has an empty result. Repeated rows give repeated results; other
+    columns of `docs` are ignored. Texts and words of any length are read whole.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                base, spans = all_spans(text or "", patterns)
-                kinds = [kind for _, _, kind in base]
-                rows.append((*map(kinds.count, KINDS), _joined(base), _joined(spans)))
-            out = pd.DataFrame(rows, columns=[*(f"n_{k}" for k in KINDS), "base", "spans"])
-            out.insert(0, "doc_id", batch["doc_id"].array)
+            found = [base_spans(text or "") for text in batch["text"]]
+            out = batch.drop(columns="text")
+            out["base"] = [[{"first": a, "last": b, "kind": kind} for a, b, kind in spans] for spans in found]
             yield out
 
-    counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return mapped(docs.select("doc_id", "text"), run, f"{counts}, base string, spans string")
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), *row_key(), "text")
+    rows = rows.mapInPandas(run, f"doc_id string, key_id long, key_text long, base {_SPANS}")
+    counts = [F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    return _with_more(rows, docs, least_support).select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        *counts,
+        _joined(F.col("base")).alias("base"),
+        _joined(F.concat("base", "more")).alias("spans"),
+    )
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -215,19 +277,34 @@ def masked(text: str, spans: list[Span]) -> str:
     return "".join([*parts, text[done:]])
 
 
-def redact(docs: DataFrame, patterns: frozenset[tuple[str, str]]) -> DataFrame:
+@F.pandas_udf(StringType())
+def _masked(texts: pd.Series, more: pd.Series) -> pd.Series:
+    out = []
+    for text, extra in zip(texts, more):
+        if text is None:
+            out.append(None)
+            continue
+        spans = [(int(a), int(b), kind) for kind, a, b in (s.split(":") for s in extra.split(",") if s)]
+        out.append(masked(text, sorted(base_spans(text) + spans, key=_place)))
+    return pd.Series(out, dtype=object)
+
+
+def redact(docs: DataFrame, least_support: int = LEAST_SUPPORT) -> DataFrame:
     """`docs` with masked texts and, where the column exists, n_chars to match; null texts stay null."""
-    mask = F.pandas_udf(
-        lambda texts: texts.map(lambda t: t if t is None else masked(t, all_spans(t, patterns)[1])), "string"
-    )
-    changed = docs.withColumn("text", mask("text"))
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        changed = changed.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))
-    return changed
+    rows = docs.select(F.struct("*").alias("row"), *row_key())
+    known = _with_more(rows, docs, least_support).select("row", _masked("row.text", _joined(F.col("more"))).alias("clean"))
+
+    def column(name: str) -> Column:
+        if name == "text":
+            return F.col("clean").alias(name)
+        old = F.col("row")[name]
+        if name == "n_chars":
+            old = F.coalesce(F.length("clean").cast(docs.schema[name].dataType), old)
+        return old.alias(name)
+
+    return known.select(*map(column, docs.columns))
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
     """doc_id, base counts by kind, base_sha256 and all spans."""
-    found = find(docs, collected(learn_patterns(docs)))
-    return found.select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2("base", 256).alias("base_sha256"), "spans")
+    return find(docs).select("doc_id", *(f"n_{k}" for k in KINDS), F.sha2("base", 256).alias("base_sha256"), "spans")

@@ -86,3 +86,125 @@ def repeat_words(text):
 
 def sha(data):
     return hashlib.sha256(data if isinstance(data, bytes) else data.encode()).hexdigest()
+
+
+def luhn(digits):
+    doubled = [int(d) * (1 + i % 2) for i, d in enumerate(reversed(digits))]
+    return sum(sum(map(int, str(d))) for d in doubled) % 10 == 0
+
+
+KINDS = ("email", "ip", "card", "phone")
+
+
+def plain_spans(text):
+    """The base spans by plain patterns: (start, end, kind)."""
+    found = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            found.append((m.start(), 1, m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = re.sub(r"\D", "", m[0])
+        if 14 <= len(digits) <= 19 and luhn(digits):
+            found.append((m.start(), 2, m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 10 <= len(re.sub(r"\D", "", m[0])) <= 15:
+            found.append((m.start(), 3, m.end()))
+    return [(s, e, KINDS[k]) for s, k, e in sorted(found)]
+
+
+# The shapes of identifier-like words and the punctuation around them.
+SHAPES = {
+    "email": r"[^@]+@[^@]+",
+    "ip": r"[0-9]+(?:[.:][0-9]+){3,}|[0-9A-Fa-f]*(?::[0-9A-Fa-f]*){3,}",
+    "card": r"(?:[0-9]-?){12,19}",
+    "phone": r"[+(]?[0-9](?:[().-]?[0-9]){6,14}",
+}
+EDGES = ".,;:!?()[]{}<>\"'|*"
+
+
+def plain_mentions(text):
+    """(start, end, kinds, is seed, patterns) of seeds and identifier-like words, in order."""
+    base = plain_spans(text)
+    found = [(s, e, [k], True) for s, e, k in base]
+    for m in WORD.finditer(text):
+        if not re.search("[@0-9]", m[0]):
+            continue
+        start = m.end() - len(m[0].lstrip(EDGES))
+        word = m[0].strip(EDGES)
+        end = start + len(word)
+        kinds = [k for k, shape in SHAPES.items() if re.fullmatch(shape, word)]
+        if word and kinds and not any(s < end and e > start for s, e, _ in base):
+            found.append((start, end, kinds, False))
+    out, before = [], 0
+    for start, end, kinds, seed in sorted(found):
+        head = text[:start]
+        words = re.findall(rf"[^\s{re.escape(EDGES)}]+", head)
+        if words and before <= len(head.rstrip(EDGES + " \n\t\r\x0b\x0c")):
+            last = len(head.rstrip(EDGES + " \n\t\r\x0b\x0c"))
+            words[-1] = words[-1][max(0, before - (last - len(words[-1]))) :]
+            words = [w for w in words if w]
+        words = [w.lower() for w in words[-2:]]
+        out.append((start, end, kinds, seed, [" ".join(words[-n:]) for n in (1, 2) if len(words) >= n]))
+        before = max(before, end)
+    return out
+
+
+def plain_patterns(texts, least=5, rounds=3, confidence=0.8):
+    """Patterns (pattern, kind) of high score, by the definition of the graph, in dictionaries."""
+    seeds, edges = set(), set()
+    for text in texts:
+        for start, end, kinds, seed, patterns in plain_mentions(text or ""):
+            for kind in kinds:
+                instance = (kind, text[start:end].lower())
+                edges |= {((p, kind), instance) for p in patterns}
+                if seed:
+                    seeds |= {((p, kind), instance) for p in patterns}
+    support = {}
+    for pattern, _ in seeds:
+        support[pattern] = support.get(pattern, 0) + 1
+    edges = {(p, i) for p, i in edges if support.get(p, 0) >= least}
+    worth = {}
+    for p, i in edges:
+        worth[i] = max(worth.get(i, 0.0), float((p, i) in seeds))
+    sure = {i for _, i in seeds & edges}
+    of_pattern, of_instance = {}, {}
+    for p, i in edges:
+        of_pattern.setdefault(p, []).append(i)
+        of_instance.setdefault(i, []).append(p)
+    # The first scores take a pair that is a seed in one context and none in another as two instances of it.
+    score = {}
+    for turn in range(rounds):
+        for p, own in of_pattern.items():
+            if turn == 0:
+                values = []
+                for i in own:
+                    flags = {float((q, i) in seeds) for q in of_instance[i]}
+                    values += sorted(flags)
+            else:
+                values = [worth[i] for i in own]
+            score[p] = round(sum(values) / len(values), 6)
+        for i, own in of_instance.items():
+            doubt = 1.0
+            for p in own:
+                doubt *= max(1 - score[p], 1e-9)
+            worth[i] = 1.0 if i in sure else round(1 - doubt, 6)
+    return {p for p, s in score.items() if s >= confidence}
+
+
+def plain_all_spans(text, patterns):
+    more = []
+    for start, end, kinds, seed, around in plain_mentions(text):
+        kind = next((k for k in kinds if any((p, k) in patterns for p in around)), None)
+        if kind and not seed:
+            more.append((start, end, kind))
+    return sorted(plain_spans(text) + more, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
+
+
+def plain_masked(text, spans):
+    """Overlapping spans become one mark, named after the first."""
+    out, done = "", 0
+    for start, end, kind in spans:
+        if start >= done:
+            out += text[done:start] + f"[{kind.upper()}]"
+        done = max(done, end)
+    return out + text[done:]

@@ -11,6 +11,11 @@ from fixtures import (
     DOC_SCHEMA,
     components_of,
     odd_documents,
+    plain_all_spans,
+    plain_masked,
+    plain_mentions,
+    plain_patterns,
+    plain_spans,
     prose,
     repeat_words,
     sha,
@@ -74,7 +79,7 @@ def test_stages_keep_columns_and_take_odd_input(odd, empty):
     stages = [
         quality_rules.keep_good,
         minhash.drop_near_duplicates,
-        lambda d: pii.redact(d, pii.collected(pii.learn_patterns(d))),
+        pii.redact,
         mixing.mix,
     ]
     for stage in stages:
@@ -178,21 +183,6 @@ def test_blocks_and_packing(spark, vocabulary, monkeypatch):
     assert {r.doc_id: bytes(r.decoded).decode() for r in decoded} == {i: prose(i, 50) for i in range(30)}
 
 
-def plain_spans(text):
-    found = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
-    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
-        if all(int(p) <= 255 for p in m[0].split(".")):
-            found.append((m.start(), 1, m.end()))
-    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
-        digits = re.sub(r"\D", "", m[0])
-        if 14 <= len(digits) <= 19 and pii.luhn(digits):
-            found.append((m.start(), 2, m.end()))
-    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
-        if 10 <= len(re.sub(r"\D", "", m[0])) <= 15:
-            found.append((m.start(), 3, m.end()))
-    return [(s, e, pii.KINDS[k]) for s, k, e in sorted(found)]
-
-
 def test_base_spans_against_plain_patterns():
     draw = random.Random(4)
     pieces = ["a", "@", "b.c", ".", "1", "25", "300", "4111 1111 1111 1111", "+1 (555) 010-9999", "-", " ", "_", "é", "x@y.zz", "10.0.0.1", "%"]
@@ -203,24 +193,75 @@ def test_base_spans_against_plain_patterns():
 
 def test_long_runs_are_read_once():
     for text in ("a" * 2_000_000, "@" * 300_000, "a@" * 200_000, "1" * 2_000_000, "1." * 500_000, "+1(" * 300_000, "x1 " * 300_000):
-        pii.all_spans(text, frozenset({("x", "card")}))
+        pii.mentions_of(text)
 
 
-def test_contexts_find_what_the_patterns_miss(spark):
+def card_texts():
+    """Two hundred valid cards in one context, a mistyped one there and one elsewhere."""
     good = [f"visa number 4{i:014d}" for i in range(200)]
     valid = [t + str(d) for t in good for d in range(10) if pii.luhn(re.sub(r"\D", "", t + str(d)))]
-    docs = [(i, t) for i, t in enumerate(valid)]
-    docs.append((1000, "visa number 4111111111111112 is mistyped"))
-    docs.append((1001, "order 4111111111111112 is no card"))
-    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    docs = list(enumerate(valid))
+    return [*docs, (1000, "visa number 4111111111111112 is mistyped"), (1001, "order 4111111111111112 is no card")]
+
+
+def test_contexts_find_what_the_patterns_miss(spark):
+    frame = spark.createDataFrame(card_texts(), "doc_id long, text string")
     found = {r.doc_id: r for r in pii.pii_report(frame).collect()}
     assert found[1000].spans == "card:12:28" and found[1000].n_card == 0
     assert found[1001].spans == ""
     assert found[1000].base_sha256 == sha("")
-    masked = pii.redact(frame, pii.collected(pii.learn_patterns(frame))).where("doc_id = 1000").first()
+    masked = pii.redact(frame).where("doc_id = 1000").first()
     assert masked.text == "visa number [CARD] is mistyped"
 
 
+@pytest.mark.parametrize("others", [10, 80_000])
+def test_support_is_independent_of_other_seeds(spark, others):
+    few = [t for _, t in card_texts()[:6]] + ["visa number 4111111111111112 here"]
+    rows = [(i, t) for i, t in enumerate(few)] + [(1000 + i, f"mail to user{i}@site{i % 97}.org now") for i in range(others)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert pii.find(frame).where("doc_id = 6").first().spans == "card:12:28"
+
+
+def identifiers(seed):
+    draw = random.Random(seed)
+    words = ["mail", "to", "Call", "fax:", "card", "no.", "server", "at", "(id", "x", "é", "=", "b,c"]
+    marks = ["a@b.co", "u.v@w-x.org", "u@host", "4111111111111111", "4111111111111112", "411111-1111111", "+1 555 010 9999", "555-010-9999",
+             "10.0.0.1", "10.0.0.999", "::1:2:3", "1:2:3:4", "99", "a1", "@", "4111 1111 1111 1111"]
+    made = []
+    for _ in range(draw.randint(0, 30)):
+        made.append(draw.choice(words) if draw.random() < 0.6 else draw.choice(["", "(", "<"]) + draw.choice(marks) + draw.choice(["", ".", ")", ","]))
+        made.append(draw.choice([" ", " ", "\n", "  ", "", ", "]))
+    return "".join(made)
+
+
+def test_mentions_and_patterns_against_brute_force(spark):
+    texts = [identifiers(i) for i in range(700)]
+    for text in texts:
+        want = [(s, e, k, n, seed, p) for s, e, kinds, seed, p in plain_mentions(text) for n, k in enumerate(kinds)]
+        assert pii.mentions_of(text) == want, text
+    frame = spark.createDataFrame([*enumerate(texts), (5, texts[5]), (None, texts[9])], "doc_id long, text string").repartition(3)
+    patterns = plain_patterns(texts)
+    learned = {(r.pattern, r.kind) for r in pii.learn_patterns(pii.mentions(frame)).collect()}
+    assert learned == patterns and len(patterns) > 3
+    got = {r.doc_id: r for r in pii.find(frame).collect()}
+    more = 0
+    for i, text in enumerate(texts):
+        spans = plain_all_spans(text, patterns)
+        assert got[i].spans == ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
+        assert got[i].base == ",".join(f"{k}:{s}:{e}" for s, e, k in plain_spans(text))
+        more += len(spans) - len(plain_spans(text))
+    assert more > 20 and pii.find(frame).count() == 702
+    clean = {r.doc_id: r.text for r in pii.redact(frame).collect()}
+    assert all(clean[i] == plain_masked(t, plain_all_spans(t, patterns)) for i, t in enumerate(texts))
+
+
+def test_words_before_an_identifier_are_read_whole():
+    long = "w" * 5000
+    assert pii._contexts(f"two {long} 1", 5005, 0)[0] == f"#{pii.xxhash.xxh3_128_hexdigest(long)}"
+    assert pii._contexts(f"{long} mail: a@b.co", 5007, 0)[0] == "mail"
+    assert pii._contexts("...  ,", 6, 0) == []
+
+
 def test_mix_comes_near_its_targets(spark):
     draw = random.Random(6)
     docs = [(i, prose(i, draw.randint(1, 200)), draw.choice("abcdefg")) for i in range(3000)]

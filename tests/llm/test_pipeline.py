@@ -2,11 +2,10 @@
 
 import duckdb
 import tiktoken
-from fixtures import DOC_SCHEMA, components_of, odd_documents
+from fixtures import DOC_SCHEMA, components_of, odd_documents, plain_all_spans, plain_masked, plain_patterns
 
 import corpus_pipeline
 import public_tokenizers
-from quorica.llm import pii
 from quorica.llm.bpe import Vocabulary
 from quorica.llm.queries import TOKEN_RANKS
 from quorica.llm.sql import MIX_CTES, QUALITY_CTES
@@ -21,8 +20,8 @@ def test_rows_of_a_whole_run(spark):
     docs = docs[docs["doc_id"].isin(kept)]
     root = components_of(sorted(zip(docs["doc_id"], docs["text"])), 5)
     docs = docs[[root[i] == i for i in docs["doc_id"]]]
-    patterns = pii.collected(pii.learn_patterns(spark.createDataFrame(docs)))
-    docs = docs.assign(text=[pii.masked(t, pii.all_spans(t, patterns)[1]) for t in docs["text"]])
+    patterns = plain_patterns(docs["text"])
+    docs = docs.assign(text=[plain_masked(t, plain_all_spans(t, patterns)) for t in docs["text"]])
     copied = con.execute(f"WITH {MIX_CTES} SELECT doc_id, copies FROM copied").fetchall()
     text = dict(zip(docs["doc_id"], docs["text"]))
     ranks = Vocabulary.load(public_tokenizers.path(TOKEN_RANKS), "").ranks
