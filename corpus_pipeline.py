@@ -38,7 +38,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepared(spark)
-    return pii.redact(docs, pii.collected(pii.learn_patterns(docs)))
+    return pii.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +50,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, decoded text and the number of tokens."""
     prepared(spark)
     vocabulary = bpe.Vocabulary.load(public_tokenizers.path(TOKEN_RANKS), public_tokenizers.PATTERN)
-    both = bpe.decode(bpe.encode(docs, vocabulary), vocabulary)
-    return both.selectExpr("doc_id", "ids", "size(ids) AS n_tokens", "cast(decoded AS string) AS text")
+    return bpe.round_trip(docs, vocabulary).selectExpr("doc_id", "ids", "size(ids) AS n_tokens", "cast(decoded AS string) AS text")
 
 
 STAGES: list[tuple[str, Stage]] = [
