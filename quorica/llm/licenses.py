@@ -12,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quorica.llm.common import row_key
+from quorica.llm.common import row_key, stored
 
 FOLDER = Path(__file__).parent / "known_licenses"
 # One-line notices.
@@ -46,14 +46,18 @@ def canonical(text: Column) -> Column:
     for line in (COPYRIGHT_LINE, RESERVED_LINE):
         out = F.regexp_replace(out, f"(?dm){line}", "")
     out = F.regexp_replace(out, PUNCTUATION, " ")
-    out = F.regexp_replace(out, " +", " ")
+    return _unified(F.regexp_replace(out, " +", " "))
+
+
+def _unified(text: Column) -> Column:
     for spelling, usual in SPELLINGS:
-        out = F.replace(out, F.lit(spelling), F.lit(usual))
-    return out
+        text = F.replace(text, F.lit(spelling), F.lit(usual))
+    return text
 
 
 def _flat(lines: Column) -> Column:
-    return F.trim(F.regexp_replace(lines, r"[ \n]+", " "))
+    """The whole text as one line, in which spellings of two words may have been parted by a line end."""
+    return _unified(F.trim(F.regexp_replace(lines, r"[ \n]+", " ")))
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
@@ -62,29 +66,39 @@ def known_licenses(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([*full, *NOTICES], "license_id string, text string")
 
 
+def known_digests(known: DataFrame) -> DataFrame:
+    """(digest, license_id) of the canonical forms; written, so that joins go by the table's true size."""
+    form = _flat(canonical(F.col("text")))
+    digests = known.where(form != "").select(F.sha2(form, 256).alias("digest"), "license_id")
+    return stored(digests.groupBy("digest").agg(F.min("license_id").alias("license_id")), "known")
+
+
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """doc_id, license_id (licence the entire text is, else null), notices (licences that a line names).
 
-    `known` (license_id, text) may be of any size: digests are joined. Notices are in order, joined by commas, the
-    empty string if none. Null and empty texts are no licence. Of known texts with equal canonical form the smallest id
-    counts. Repeated rows give repeated results; other columns are ignored.
+    `known` (license_id, text) may be of any size: digests are joined, and as long as Spark finds the known ones small they
+    go to the texts, otherwise digests of lines are shuffled. A text is made canonical once; only what is
+    found is grouped. Notices are in order, joined by commas, the empty string if none. Null, blank and empty texts are no
+    licence; an empty table has an empty result. Of known texts with equal canonical form the smallest id counts. Repeated
+    rows give repeated results; other columns are ignored. Texts and lines of any length are read whole.
     """
-    digests = known.select(F.sha2(_flat(canonical(F.col("text"))), 256).alias("digest"), "license_id")
-    digests = digests.groupBy("digest").agg(F.min("license_id").alias("license_id"))
     keys = ["key_id", "key_text"]
-    form = docs.select("doc_id", *row_key(), canonical(F.coalesce("text", F.lit(""))).alias("form"))
-    lines = F.explode(F.array_distinct(F.transform(F.split("form", "\n"), lambda x: F.trim(x))))
-    named = (
-        form.select(*keys, lines.alias("line"))
-        .where("line <> ''")
-        .select(*keys, F.sha2("line", 256).alias("digest"))
-        .join(digests, "digest")
-        .groupBy(*keys)
-        .agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
+    # A generator keeps Catalyst from computing the form again wherever it is named.
+    form = docs.select(*row_key(), F.explode(F.array(canonical(F.coalesce("text", F.lit(""))))).alias("form"))
+    whole = F.struct(F.sha2(_flat(F.col("form")), 256).alias("digest"), F.lit(True).alias("entire"))
+    lines = F.array_distinct(F.transform(F.split("form", "\n"), lambda line: F.trim(line)))
+    each = F.transform(
+        F.filter(lines, lambda line: line != ""),
+        lambda line: F.struct(F.sha2(line, 256).alias("digest"), F.lit(False).alias("entire")),
     )
-    whole = form.select("doc_id", *keys, F.sha2(_flat(F.col("form")), 256).alias("digest"))
-    return (
-        whole.join(digests, "digest", "left")
-        .join(named, keys, "left")
-        .select("doc_id", "license_id", F.coalesce("notices", F.lit("")).alias("notices"))
+    digests = form.select(*keys, F.inline(F.concat(F.array(whole), each)))
+    found = (
+        digests.join(known_digests(known), "digest")
+        .groupBy(*keys)
+        .agg(
+            F.min(F.when(F.col("entire"), F.col("license_id"))).alias("license_id"),
+            F.array_join(F.array_sort(F.collect_set(F.when(~F.col("entire"), F.col("license_id")))), ",").alias("notices"),
+        )
     )
+    rows = docs.select("doc_id", *row_key()).join(stored(found, "found"), keys, "left")
+    return rows.select("doc_id", "license_id", F.coalesce("notices", F.lit("")).alias("notices"))

@@ -332,13 +332,18 @@ def _canonical(text: str) -> str:
     for line in (COPYRIGHT_LINE, RESERVED_LINE):
         out = f"regexp_replace({out}, '(?m){line}', '', 'g')"
     out = f"regexp_replace(regexp_replace({out}, '{PUNCTUATION}', ' ', 'g'), ' +', ' ', 'g')"
+    return _unified(out)
+
+
+def _unified(text: str) -> str:
     for spelling, usual in SPELLINGS:
-        out = f"replace({out}, '{spelling}', '{usual}')"
-    return out
+        text = f"replace({text}, '{spelling}', '{usual}')"
+    return text
 
 
 def _flat(form: str) -> str:
-    return f"sha256(trim(regexp_replace({form}, '[ \\n]+', ' ', 'g'), ' '))"
+    flat = f"trim(regexp_replace({form}, '[ \\n]+', ' ', 'g'), ' ')"
+    return f"sha256({_unified(flat)})"
 
 
 _KNOWN = ", ".join(

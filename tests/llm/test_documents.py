@@ -424,3 +424,52 @@ def test_round_trip_leaves_no_table_behind(spark, vocabulary, odd):
     assert len(rows) == odd.count() and all(bytes(r.decoded) == bytes(r.decoded) for r in rows)
     again = bpe.decode(both.select("doc_id", "ids"), vocabulary)
     assert sorted(map(str, again.select("doc_id", "decoded").collect())) == sorted(map(str, both.select("doc_id", "decoded").collect()))
+
+
+def disguised(text, seed):
+    """The same licence under another holder, wrapping, case, punctuation and spelling."""
+    draw = random.Random(seed)
+    for spelling, usual in licenses.SPELLINGS[:2] + licenses.SPELLINGS[4:7]:
+        text = text.replace(usual, spelling) if draw.random() < 0.5 else text.replace(spelling, usual)
+    own = re.compile(r"(?i)\s*(copyright|\(c\)|©).*(\d{4}|<year>|\(c\)|©)|\s*all rights reserved\.?\s*$")
+    body = [line for line in text.split("\n") if not own.match(line)]
+    words = " ".join(body).replace('"', draw.choice(["'", "“", '"'])).split()
+    width = draw.randint(4, 20)
+    lines = [" ".join(words[i : i + width]) for i in range(0, len(words), width)]
+    held = f"Copyright (c) {draw.randint(1990, 2025)} Holder {draw.randint(1, 999)}, Inc."
+    made = draw.choice(["\n", "\r\n", "  \n\t"]).join([held, "All rights reserved.", *lines])
+    return made.upper() if draw.random() < 0.2 else made
+
+
+def test_recall_of_planted_whole_licenses(spark):
+    known = licenses.known_licenses(spark).where("length(text) > 200")
+    texts = {r.license_id: r.text for r in known.collect()}
+    planted = [(name, disguised(text, seed)) for name, text in texts.items() for seed in range(6)]
+    docs = [(i, text) for i, (_, text) in enumerate(planted)]
+    docs += [(10_000 + i, text[: len(text) // 2]) for i, (_, text) in enumerate(planted)]
+    docs += [(20_000 + i, text.replace("software", "hardware", 3) + " no licence") for i, (_, text) in enumerate(planted)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in licenses.scan(frame, licenses.known_licenses(spark)).collect()}
+    hits = sum(got[i] == name for i, (name, _) in enumerate(planted))
+    assert len(texts) >= 18 and hits >= 0.9 * len(planted)
+    assert all(found is None for i, found in got.items() if i >= 10_000)
+
+
+def test_a_form_is_computed_once_and_lines_are_not_shuffled(spark, odd):
+    before = spark.sparkContext.getConf().get("spark.sql.autoBroadcastJoinThreshold", None)
+    plans = []
+    stored = licenses.stored
+
+    def watch(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return stored(df, name)
+
+    licenses.stored = watch
+    try:
+        licenses.scan(odd, licenses.known_licenses(spark)).count()
+    finally:
+        licenses.stored = stored
+    plan = dict(plans)["found"]
+    assert before is None and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    # One generator makes the form; what follows refers to it.
+    assert plan.count("translate(") == 1
