@@ -77,11 +77,26 @@ def _alternatives(pattern: str) -> list[str]:
     return [pattern[a + 1 : b] for a, b in zip([start - 1, *cuts], [*cuts, end])]
 
 
+def _passes_over(run: str, head: str) -> bool:
+    """Whether a class holds every printable ASCII character that the tokens of the head can match."""
+    if run == ".":
+        return True
+    inside = re.compile(run, re.ASCII)
+    tokens = re.findall(r"\[[^\]]*\]|\\.|[^\\\[\]]", re.sub(r"[()|?*+{}^$]|\\b", "", head))
+    seen = [c for token in tokens for c in map(chr, range(32, 127)) if re.fullmatch(token, c, re.ASCII)]
+    return all(inside.fullmatch(c) for c in seen)
+
+
 def _read_once(alternative: str) -> str:
-    """``head run* tail`` from the first head of each line or run: later heads see no more of it."""
+    """``head run* tail`` from the first head of each line or run: later heads see no more of it.
+
+    That holds if the run can pass over any later head, so one with a character outside the class is an error.
+    """
     found = _REPEATED.fullmatch(alternative)
     if not found:
         return _translated(alternative)
+    if not _passes_over(found["run"], found["head"]):
+        raise ValueError(f"{found['run']} doesn't hold all of {found['head']!r}: {alternative!r}")
     head, tail = _translated(found["head"]), _translated(found["tail"])
     if found["run"] == ".":
         return rf"^(?:(?!{head})[^\n])*+{head}[^\n]*{tail}"

@@ -156,3 +156,14 @@ def test_repeated_select_counts_as_subquery(spark):
     df = spark.createDataFrame([("select 1",), ("select (select 1)",), ("",)], "t string")
     hits = df.select(matches_at_least(F.col("t"), F.col("t"), feature, 2)).collect()
     assert [r[0] for r in hits] == [False, True, False]
+
+
+@pytest.mark.parametrize("pattern", [r"select[a-z ]*from", r"a[^;]*b", r"with .*as"])
+def test_heads_inside_the_repeated_class_are_read_once(pattern):
+    assert "*+" in java_pattern(pattern)
+
+
+@pytest.mark.parametrize("pattern", [r"sel9ct[a-z ]*from", r"a;[^;]*b", r"\w[a-z]*x"])
+def test_a_head_outside_the_repeated_class_is_refused(pattern):
+    with pytest.raises(ValueError, match="doesn't hold"):
+        java_pattern(pattern)
