@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quorica.llm.licenses import COPYRIGHT_LINE, FOLDER, NOTICES, PUNCTUATION, RESERVED_LINE, SPELLINGS
+from quorica.llm.url_filter import ADDRESSES, PUBLIC_SUFFIXES
 
 WORD = r"[^\x20\x09-\x0D]+"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -279,32 +280,47 @@ WITH rests AS (
 ),
 parts AS (
     SELECT page_id, {LOWER.format("regexp_extract(rest, '^([^/?#]*)', 1)")} AS host,
-           regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+           regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+           regexp_replace(regexp_replace(string_split(host, '@')[-1], '(:[0-9]*)?$', ''), '\\.$', '') AS site
     FROM rests
 ),
+public(suffix) AS (VALUES {", ".join(f"('{s}')" for s in PUBLIC_SUFFIXES)}),
 outcomes AS (
     SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad
     FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id
 ),
-hosts AS (
-    SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix,
-           count(bad) AS n, coalesce(sum(bad), 0) AS bad
-    FROM parts LEFT JOIN outcomes ON doc_id = page_id GROUP BY ALL
-),
-overall AS (SELECT coalesce(round((sum(bad) + 0.5) / (sum(n) + 1.0), 9), 0.5) AS prior FROM hosts),
-suffix_rows AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(prior) AS prior FROM hosts, overall GROUP BY suffix),
+counts AS (
+    SELECT site, count(bad) AS n, coalesce(sum(bad), 0) AS bad
+    FROM parts LEFT JOIN outcomes ON doc_id = page_id GROUP BY site
+),
+ends AS (
+    SELECT counts.*, string_split(site, '.') AS labels,
+           regexp_matches(site, '^([0-9]{{1,3}}\\.){{3}}[0-9]{{1,3}}$|^\\[.*\\]$') AS numbers,
+           coalesce((SELECT max(len(string_split(suffix, '.'))) FROM public WHERE suffix(site, '.' || public.suffix)
+                     OR site = public.suffix), 1) AS k
+    FROM counts
+),
+sites AS (
+    SELECT site, n, bad,
+           CASE WHEN numbers THEN site ELSE array_to_string(labels[-(k + 1):], '.') END AS domain,
+           CASE WHEN numbers THEN '{ADDRESSES}' ELSE array_to_string(labels[-k:], '.') END AS suffix
+    FROM ends
+),
+overall AS (SELECT coalesce(round((sum(bad) + 0.5) / (sum(n) + 1.0), 9), 0.5) AS prior FROM sites),
+suffix_rows AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(prior) AS prior FROM sites, overall GROUP BY suffix),
 {_shrunk("suffixes", "suffix_rows")},
 domain_rows AS (
-    SELECT domain, hosts.suffix, sum(hosts.n) AS n, sum(hosts.bad) AS bad, any_value(suffixes.rate) AS prior
-    FROM hosts JOIN suffixes ON suffixes.suffix = hosts.suffix GROUP BY ALL
+    SELECT domain, sites.suffix, sum(sites.n) AS n, sum(sites.bad) AS bad, any_value(suffixes.rate) AS prior
+    FROM sites JOIN suffixes ON suffixes.suffix = sites.suffix GROUP BY ALL
 ),
 {_shrunk("domains", "domain_rows")},
-host_rows AS (
-    SELECT host, hosts.n, hosts.bad, domains.rate AS prior FROM hosts JOIN domains ON domains.domain = hosts.domain
+site_rows AS (
+    SELECT site, sites.n, sites.bad, domains.rate AS prior
+    FROM sites JOIN domains ON domains.domain = sites.domain AND domains.suffix = sites.suffix
 ),
-{_shrunk("rated", "host_rows")},
+{_shrunk("rated", "site_rows")},
 bounds AS (
-    SELECT host, round(rate - 1.645 * sqrt(rate * (1 - rate) / (strength + n + 1)), 6) AS low FROM rated
+    SELECT site, round(rate - 1.645 * sqrt(rate * (1 - rate) / (strength + n + 1)), 6) AS low FROM rated
 ),
 rules(verdict, rule, rule_host, rule_path) AS (
     VALUES ('block', 'net/', 'net', '/'), ('allow', 'example.net/en/', 'example.net', '/en/'),
@@ -320,7 +336,7 @@ SELECT page_id, parts.host, parts.path, rule,
        coalesce(verdict, CASE WHEN low > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts
 LEFT JOIN matched ON matched.host = parts.host AND matched.path = parts.path
-LEFT JOIN bounds ON bounds.host = parts.host
+LEFT JOIN bounds ON bounds.site = parts.site
 """
 
 def _quoted(text: str) -> str:

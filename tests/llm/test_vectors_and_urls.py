@@ -160,3 +160,57 @@ def test_reputation_needs_evidence_and_borrows_it(spark):
     assert verdict["spam.farm.xyz"] == "block" and verdict["s3.rotten.xyz"] == "block"
     assert verdict["unseen.rotten.xyz"] == "block"
     assert verdict["once.fine.abc"] == "allow" and verdict["mixed.fine.abc"] == "allow" and verdict["h3.fine.abc"] == "allow"
+
+
+def test_sites_domains_and_suffixes(spark):
+    cases = {
+        "http://User:pw@Shop.Example.co.uk:8080/x": ("shop.example.co.uk", "example.co.uk", "co.uk"),
+        "http://co.uk/": ("co.uk", "co.uk", "co.uk"),
+        "http://co.uk:8080/": ("co.uk", "co.uk", "co.uk"),
+        "http://a.b.example.de./": ("a.b.example.de", "example.de", "de"),
+        "http://10.0.0.1:81/": ("10.0.0.1", "10.0.0.1", url_filter.ADDRESSES),
+        "http://[::1]:80/": ("[::1]", "[::1]", url_filter.ADDRESSES),
+        "http://localhost": ("localhost", "localhost", "localhost"),
+        "http://x.y.deep.k12.zz/": ("x.y.deep.k12.zz", "y.deep.k12.zz", "deep.k12.zz"),
+        "no host": ("", "", ""),
+        "http://" + "a." * 400 + "com/": ("a." * 400 + "com", "a.com", "com"),
+    }
+    pages = spark.createDataFrame(list(enumerate(cases)), "page_id long, url string")
+    sites = url_filter.with_parts(pages).select("site").distinct()
+    given = [*url_filter.PUBLIC_SUFFIXES, "k12.zz", "deep.k12.zz"]
+    for suffixes in (given, spark.createDataFrame([(s,) for s in given + given], "suffix string")):
+        got = {r.site: (r.site, r.domain, r.suffix) for r in url_filter.with_domains(sites, suffixes).collect()}
+        assert got == {want[0]: want for want in cases.values()}
+    plain = {r.domain for r in url_filter.with_domains(sites, []).collect()}
+    assert {"co.uk", "k12.zz", "10.0.0.1"} <= plain
+
+
+def test_ports_share_a_reputation_and_neighbours_of_a_suffix_do_not(spark):
+    pages, labels = [], []
+    for i in range(60):
+        pages.append((i, f"http://u@bad.co.uk:{i}/"))
+        labels.append((i, 0, 0))
+        pages.append((1000 + i, f"http://good{i}.co.uk/"))
+        labels.append((1000 + i, 1, 0))
+    pages += [(5000, "http://bad.co.uk/"), (5001, "http://new.co.uk/")]
+    frame = spark.createDataFrame(pages, "page_id long, url string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    verdict = {r.page_id: r.verdict for r in url_filter.judge_urls(frame, marks).collect()}
+    assert verdict[5000] == verdict[3] == "block"
+    assert verdict[5001] == verdict[1003] == "allow"
+
+
+def test_any_number_of_rules(spark):
+    """Joined rules give what the rules of the plan give, and thousands are no more than a join."""
+    rows = list(enumerate([*urls(), "http://h7.many.org/p/7/x", "http://deep.h9.many.org/p/", "http://h9.many.org/q"]))
+    parts = url_filter.with_parts(spark.createDataFrame([*rows, rows[5]], "page_id long, url string"))
+    odd = [*url_filter.RULES, ("allow", "net/"), ("block", "bad.host.xyz"), ("allow", "/"), ("allow", "é.org/f"), ("block", "org/")]
+    many = odd + [("block", f"h{i}.many.org/p/{i if i % 2 else ''}") for i in range(3000)]
+    pick = lambda df: sorted((r.page_id, r.match and tuple(r.match)) for r in df.collect())
+    framed = spark.createDataFrame(odd, "verdict string, rule string")
+    assert pick(url_filter.with_rules(parts, framed)) == pick(url_filter.with_rules(parts, odd))
+    got = dict(pick(url_filter.with_rules(parts, many)))
+    n = len(urls())
+    assert got[n] == ("block", "h7.many.org/p/7") and got[n + 1] == ("block", "org/") and got[n + 2] == ("block", "org/")
+    assert all(match is None for _, match in pick(url_filter.with_rules(parts, [])))
+    assert all(match is None for _, match in pick(url_filter.with_rules(parts, framed.limit(0))))
