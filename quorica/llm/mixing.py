@@ -6,7 +6,9 @@ to the others by weight. With the sources ordered by cap per weight the level fo
 Documents: a source's target is a number of whole repetitions and a rest. The rest takes documents in the
 order of a seeded digest until it is reached, so that the words taken differ from the target by at most half of the one
 document at the cut. The order is not sorted as a whole: digests fall into 4096 buckets, sums over buckets show
-which bucket holds the cut, and only that one is sorted.
+which bucket holds the cut, and sums over that bucket's keys (digest, digest of the text), which count equal rows together,
+which key. Sizes and keys are written first, so this moves no text; every row is then compared with its source's cut where
+it is. Only where the cut falls between wholly equal rows are these rows numbered.
 """
 
 from __future__ import annotations
@@ -62,49 +64,81 @@ def targets(sized: DataFrame, weights=WEIGHTS, budget: float = BUDGET, epochs: i
     return kept.withColumn("need", F.col("target") - F.col("whole").cast("double") * size)
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """(row, size, source_size, target, copies): how often the mix takes each document.
+def _digest_of_text(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")))
 
-    `row` holds the input columns. A null text has size 0, a null source is a source of its own, a null id counts
-    as an empty string in the order. Rows of equal id are ordered by their text; wholly equal rows are interchangeable.
-    Documents without words are copied like others of their place and take no words.
+
+def cuts(sized: DataFrame) -> DataFrame:
+    """One row per source: of_source, source_size, target, whole and the cut from rows (source, digest, tail, size).
+
+    Rows before the cut's key (digest, tail) are taken once more than `whole` times, of those at the key the first `taken`
+    of `ties`. A cut '~' lies behind all rows, '' before them.
     """
-    base = docs.select(
-        F.struct("*").alias("row"), "source", word_count().alias("size"), _digest().alias("digest")
-    ).withColumn("bucket", F.substring("digest", 1, BUCKET_DIGITS))
-    buckets = stored(base.groupBy("source", "bucket").agg(F.sum("size").alias("size")), "buckets")
-    goal = targets(buckets)
+    bucketed = sized.withColumn("bucket", F.substring("digest", 1, BUCKET_DIGITS))
+    buckets = stored(bucketed.groupBy("source", "bucket").agg(F.sum("size").alias("size")), "buckets")
+    goal = targets(buckets).withColumnRenamed("source", "of_source")
     in_order = Window.partitionBy("source").orderBy("bucket")
     upto = buckets.withColumn("upto", F.sum("size").over(in_order))
-    named = goal.withColumnRenamed("source", "of_source")
-    cut = (
-        upto.join(named, F.col("source").eqNullSafe(F.col("of_source")))
+    found = (
+        upto.join(goal, F.col("source").eqNullSafe(F.col("of_source")))
         .where("upto > need")
         .groupBy("source")
         .agg(F.min(F.struct("bucket", (F.col("upto") - F.col("size")).alias("before"))).alias("cut"))
+        .withColumnRenamed("source", "c_source")
+    )
+    plan = stored(goal.join(found, F.col("of_source").eqNullSafe(F.col("c_source")), "left").drop("c_source"), "plan")
+    inside = bucketed.join(
+        plan.select("of_source", "need", "cut"),
+        F.col("source").eqNullSafe(F.col("of_source")) & (F.col("bucket") == F.col("cut.bucket")) & (F.col("need") > 0),
     )
-    plan = named.join(cut.withColumnRenamed("source", "c_source"), F.col("of_source").eqNullSafe(F.col("c_source")), "left")
-    plan = stored(
-        plan.select(
-            "of_source", "source_size", "target", "whole", "need",
-            F.when(F.col("need") <= 0, "").otherwise(F.coalesce("cut.bucket", F.lit("~"))).alias("cut"),
-            F.coalesce("cut.before", F.lit(0)).alias("before"),
-        ),
-        "plan",
+    keys = inside.groupBy("source", "digest", "tail", "size", "need", F.col("cut.before").alias("before")).agg(
+        F.count(F.lit(1)).alias("ties")
     )
+    ordered = Window.partitionBy("source").orderBy("digest", "tail", "size")
+    passed = F.sum(F.col("size") * F.col("ties")).over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    keys = keys.withColumn("room", F.col("need") - F.col("before") - F.coalesce(passed, F.lit(0)))
+    # Of rows of one size the i-th from 0 is taken if its middle, (i + 1/2) * size, is within the room.
+    fitting = F.floor(F.try_divide("room", "size") + 0.5)
+    taken = F.when(F.col("room") < 0, 0).when(F.col("size") == 0, F.col("ties")).otherwise(fitting)
+    taken = F.least(F.greatest(taken, F.lit(0)), "ties").cast("long")
+    first = F.min(F.struct("digest", "tail", F.col("taken").alias("taken"), "ties")).alias("at")
+    at = keys.withColumn("taken", taken).where("taken < ties").groupBy("source").agg(first).withColumnRenamed("source", "a_source")
+    whole = plan.join(at, F.col("of_source").eqNullSafe(F.col("a_source")), "left")
+    behind = F.when(F.col("need") <= 0, "").when(F.col("cut").isNull(), "~")
+    # Without a key that stays out, all of the cut's bucket is taken: the cut is right behind it.
+    return whole.select(
+        "of_source", "source_size", "target", "whole",
+        F.coalesce(behind, "at.digest", F.concat("cut.bucket", F.lit("~"))).alias("cut"),
+        F.coalesce("at.tail", F.lit("")).alias("cut_tail"),
+        F.coalesce("at.taken", F.lit(0)).alias("taken"),
+        F.coalesce("at.ties", F.lit(0)).alias("ties"),
+    )
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """(row, size, source_size, target, copies): how often the mix takes each document.
+
+    `row` holds the input columns. A null text has size 0, a null source is a source of its own, a null id counts
+    as an empty string in the order. Rows of equal id are ordered by their text; rows equal in both are interchangeable, and
+    if the cut falls between them they are numbered in one task of their source. Texts may have any length.
+    Documents without words are copied like others of their place and take no words. No documents give no rows.
+    """
+    base = docs.select(F.struct("*").alias("row"), "source", word_count().alias("size"), _digest().alias("digest"))
+    tail = _digest_of_text(F.col("row.text"))
+    sized = docs.select("source", word_count().alias("size"), _digest().alias("digest"), _digest_of_text(F.col("text")).alias("tail"))
+    plan = stored(cuts(stored(sized, "sizes")), "cuts")
     known = base.join(plan, F.col("source").eqNullSafe(F.col("of_source")))
+    same = F.col("digest") == F.col("cut")
+    before = (F.col("digest") < F.col("cut")) | (same & (tail < F.col("cut_tail")))
     result = ["row", "size", "source_size", "target"]
-    clear = known.where("bucket <> cut").select(
-        *result, (F.col("whole") + F.when(F.col("bucket") < F.col("cut"), 1).otherwise(0)).alias("copies")
-    )
-    nearer = Window.partitionBy("source").orderBy("digest", F.md5(F.coalesce("row.text", F.lit(""))))
-    passed = F.coalesce(F.sum("size").over(nearer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    at_cut = (
-        known.where("bucket = cut")
-        .withColumn("middle", F.col("before") + passed + F.col("size") / 2)
-        .select(*result, (F.col("whole") + F.when(F.col("middle") <= F.col("need"), 1).otherwise(0)).alias("copies"))
-    )
-    return clear.unionByName(at_cut)
+    copies = (F.col("whole") + F.when(before, 1).otherwise(0)).alias("copies")
+    between = plan.where("taken > 0")
+    if between.isEmpty():
+        return known.select(*result, copies)
+    tied = (F.col("taken") > 0) & same & (tail == F.col("cut_tail"))
+    number = F.row_number().over(Window.partitionBy("source").orderBy("digest"))
+    first = (F.col("whole") + F.when(number <= F.col("taken"), 1).otherwise(0)).alias("copies")
+    return known.where(~tied).select(*result, copies).unionByName(known.where(tied).select(*result, first))
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
