@@ -1,9 +1,10 @@
 """Quality rules: fixed base rules, then cutoffs that follow each language and source.
 
 The cutoffs come from quantile sketches: a value is rounded down to its six leading bits, and a sketch is the
-number of documents at each rounded value. Sketches merge by adding counts, so those of a small group give way to the
-sum over its language, then over everything. The relative error of a quantile is at most 1/32. Everything here is
-DataFrame functions.
+number of documents at each rounded value. Sketches merge by adding counts, to those of a language and of everything. The
+quantiles of a group of n documents are drawn to those of its language with the weight of PRIOR_ROWS documents
+against n, and the language's likewise to those of everything: a small group borrows, a large one stands alone, without a
+step in between. The relative error of a quantile is at most 1/32. Everything here is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from quorica.llm.common import SPACE, WORD, stored
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
 WINDOW = 8
-GROUP_ROWS = 200
+PRIOR_ROWS = 50
 LEADING_BITS = 6
 # Rates per document: name, SQL expression over the statistics, slack around the cutoff, both sides or the upper only.
 RATES = (
@@ -71,8 +72,9 @@ def _repeat_words(words: Column, count: Column, has_repeat: Column) -> Column:
 def with_statistics(docs: DataFrame) -> DataFrame:
     """(row, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed).
 
-    `row` holds the input columns. A null text counts as empty. Wrong-looking input (only white space, one
-    endless word) simply has few words.
+    `docs` needs doc_id, text, lang and source; `row` holds all input columns. A null text counts as empty. Wrong-looking
+    input (only white space, one endless word) simply has few words. Repeated rows count each, here and in the cutoffs. Whole
+    texts are read, whatever their length: a row needs some ten times its text in memory. An empty table stays empty.
     """
     own = ["row", "lang", "source", "text"]
     text = F.coalesce("text", F.lit("")).alias("text")
@@ -109,11 +111,22 @@ def _rounded(value: str) -> str:
     return f"shiftleft(shiftright({value}, {shift}), {shift})"
 
 
-def cutoffs(measured: DataFrame) -> DataFrame:
+def _drawn(own: str, above: Column, prior_rows: int) -> Column:
+    """Quantiles (q25, q50, q75) of a group drawn to those above, in whole numbers."""
+
+    def drawn(name: str) -> Column:
+        weighed = F.col(own)["rows"] * F.col(own)[name] + prior_rows * above[name]
+        return F.call_function("div", weighed, F.col(own)["rows"] + prior_rows).alias(name)
+
+    return F.struct(drawn("q25"), drawn("q50"), drawn("q75"))
+
+
+def cutoffs(measured: DataFrame, prior_rows: int = PRIOR_ROWS) -> DataFrame:
     """Bounds of every rate for each (lang, source) with a document that passes the base rules.
 
-    A group of fewer than GROUP_ROWS documents takes the bounds of its language, a language of fewer those of all
-    documents. Null languages and sources are groups of their own.
+    `prior_rows` is the number of documents that the level above counts for. Null languages and sources are groups of their
+    own. Nothing but counts of rounded values is shuffled, so a hot group is a few hundred rows a task. Without
+    documents there are no bounds.
     """
     rates = F.explode(F.array(*(F.struct(F.lit(n).alias("rate"), F.expr(e).alias("value")) for n, e, _, _ in RATES)))
     leaves = (
@@ -146,24 +159,24 @@ def cutoffs(measured: DataFrame) -> DataFrame:
     def quantile(percent: int) -> Column:
         return F.min(F.when(100 * F.col("upto") >= percent * F.col("rows"), F.col("value"))).alias(f"q{percent}")
 
-    bounds = ranked.groupBy("g", "rate").agg(F.first("rows").alias("rows"), quantile(25), quantile(50), quantile(75))
-    slack = F.coalesce(*(F.when(F.col("rate") == n, F.lit(s)) for n, _, s, _ in RATES))
-    two_sided = F.col("rate").isin(*(n for n, _, _, both in RATES if both))
-    bounds = bounds.select(
-        "g",
-        "rate",
-        "rows",
-        F.when(two_sided, F.col("q50") - SPREADS * (F.col("q50") - F.col("q25")) - slack).alias("low"),
-        (F.col("q50") + SPREADS * (F.col("q75") - F.col("q50")) + slack).alias("high"),
-    )
+    quantiles = ranked.groupBy("g", "rate").agg(F.first("rows").alias("rows"), quantile(25), quantile(50), quantile(75))
     wanted = leaves.select("lang", "source").distinct().select("lang", "source", levels.alias("g"))
-    same = [wanted["g"][k].eqNullSafe(bounds["g"][k]) for k in ("level", "lang", "source")]
-    usable = wanted.join(bounds, same[0] & same[1] & same[2]).where(
-        (F.col("rows") >= GROUP_ROWS) | (wanted["g"]["level"] == 0)
-    )
-    best = usable.groupBy("lang", "source", "rate").agg(
-        F.max_by(F.struct("low", "high"), wanted["g"]["level"]).alias("b")
+    same = [wanted["g"][k].eqNullSafe(quantiles["g"][k]) for k in ("level", "lang", "source")]
+    level = wanted["g"]["level"]
+    found = F.struct("rows", "q25", "q50", "q75")
+    stacked = (
+        wanted.join(quantiles, same[0] & same[1] & same[2])
+        .groupBy("lang", "source", "rate")
+        .agg(*(F.max(F.when(level == i, found)).alias(name) for i, name in enumerate(("overall", "language", "own"))))
     )
+    drawn = stacked.withColumn("language_q", _drawn("language", F.col("overall"), prior_rows))
+    drawn = drawn.select("lang", "source", "rate", _drawn("own", F.col("language_q"), prior_rows).alias("q"))
+    drawn = drawn.select("lang", "source", "rate", "q.*")
+    slack = F.coalesce(*(F.when(F.col("rate") == n, F.lit(s)) for n, _, s, _ in RATES))
+    two_sided = F.col("rate").isin(*(n for n, _, _, both in RATES if both))
+    low = F.when(two_sided, F.col("q50") - SPREADS * (F.col("q50") - F.col("q25")) - slack).alias("low")
+    high = (F.col("q50") + SPREADS * (F.col("q75") - F.col("q50")) + slack).alias("high")
+    best = drawn.select("lang", "source", "rate", F.struct(low, high).alias("b"))
     return best.groupBy("lang", "source").pivot("rate", [n for n, *_ in RATES]).agg(F.first("b"))
 
 

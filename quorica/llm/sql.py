@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quorica.llm.licenses import COPYRIGHT_LINE, FOLDER, NOTICES, PUNCTUATION, RESERVED_LINE, SPELLINGS
+from quorica.llm.quality_rules import PRIOR_ROWS
 from quorica.llm.url_filter import ADDRESSES, PUBLIC_SUFFIXES
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -64,6 +65,16 @@ _RATE_ROWS = " UNION ALL ".join(
 )
 _RATE_COLUMNS = ", ".join(f"CASE WHEN n_words > 0 THEN {e} END AS {n}" for n, e, _, _ in RATES)
 
+
+
+def _drawn(own: str, above: str) -> str:
+    """Quantiles of a group drawn to those of the level above."""
+    return ", ".join(
+        f"({own}.total * {own}.{q} + {PRIOR_ROWS} * {above}.{q}) // ({own}.total + {PRIOR_ROWS}) AS {q}"
+        for q in ("q25", "q50", "q75")
+    )
+
+
 # Expects a relation `docs` (doc_id, text, lang, source); gives `judged` with doc_id, the statistics and kept.
 QUALITY_CTES = f"""
 q_words AS (
@@ -126,20 +137,27 @@ quantiles AS (
            min(CASE WHEN 100 * upto >= 75 * total THEN value END) AS q75
     FROM ranked GROUP BY level, lang, source, rate
 ),
-bounds AS (
-    SELECT level, lang, source, rate,
-           CASE rate {_LOW} END AS low,
-           q50 + 4 * (q75 - q50) + CASE rate {_SLACK} END AS high
-    FROM quantiles WHERE total >= 200 OR level = 0
+stacked AS (
+    SELECT leaf.lang, leaf.source, q0.rate, {_drawn("q1", "q0")}, q2.total AS total,
+           q2.q25 AS own25, q2.q50 AS own50, q2.q75 AS own75
+    FROM (SELECT DISTINCT lang, source FROM leaf_sketches) AS leaf
+    JOIN quantiles q0 ON q0.level = 0
+    JOIN quantiles q1 ON q1.level = 1 AND q1.rate = q0.rate AND q1.lang IS NOT DISTINCT FROM leaf.lang
+    JOIN quantiles q2 ON q2.level = 2 AND q2.rate = q0.rate AND q2.lang IS NOT DISTINCT FROM leaf.lang
+        AND q2.source IS NOT DISTINCT FROM leaf.source
+),
+drawn AS (
+    SELECT lang, source, rate,
+           (total * own25 + {PRIOR_ROWS} * q25) // (total + {PRIOR_ROWS}) AS q25,
+           (total * own50 + {PRIOR_ROWS} * q50) // (total + {PRIOR_ROWS}) AS q50,
+           (total * own75 + {PRIOR_ROWS} * q75) // (total + {PRIOR_ROWS}) AS q75
+    FROM stacked
 ),
 leaf_bounds AS (
-    SELECT leaf.lang, leaf.source, bounds.rate,
-           arg_max(coalesce(low, -1000000), level) AS low, arg_max(high, level) AS high
-    FROM (SELECT DISTINCT lang, source FROM leaf_sketches) AS leaf
-    JOIN bounds ON level = 0
-        OR (level = 1 AND bounds.lang IS NOT DISTINCT FROM leaf.lang)
-        OR (level = 2 AND bounds.lang IS NOT DISTINCT FROM leaf.lang AND bounds.source IS NOT DISTINCT FROM leaf.source)
-    GROUP BY ALL
+    SELECT lang, source, rate,
+           coalesce(CASE rate {_LOW} END, -1000000) AS low,
+           q50 + 4 * (q75 - q50) + CASE rate {_SLACK} END AS high
+    FROM drawn
 ),
 doc_rates AS (
     UNPIVOT (SELECT doc_id, lang, source, {_RATE_COLUMNS} FROM measured WHERE NOT base_failed)

@@ -1,5 +1,6 @@
 """Document operators against brute force, and on odd input."""
 
+import hashlib
 import random
 import re
 
@@ -285,6 +286,42 @@ def test_mix_comes_near_its_targets(spark):
     }
 
 
+@pytest.mark.parametrize("copies", [1, 400])
+def test_mix_cuts_like_a_sorted_source(spark, copies):
+    """The cut against sorting each source as a whole, also where it falls between wholly equal rows."""
+    draw = random.Random(copies)
+    docs = [(draw.choice([None, i, i // 3]), prose(i % 40, draw.randint(0, 60)) or None, draw.choice("ab")) for i in range(300)]
+    docs += [(None, "the same words again and again", s) for s in "abc" for _ in range(copies)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(4)
+    rows = mixing.mixed(frame).collect()
+    goal = {r.row.source: r.target for r in rows}
+    want = []
+    for s, target in goal.items():
+        mine = [(i, t, len((t or "").split())) for i, t, x in docs if x == s]
+        total = sum(n for *_, n in mine)
+        whole, before = int(target // total), 0
+        digest = lambda x: hashlib.md5(x.encode()).hexdigest()
+        for i, t, n in sorted(mine, key=lambda r: (digest(f"mix-1:{'' if r[0] is None else r[0]}"), digest(r[1] or ""))):
+            need = target - whole * total
+            want.append((s, i, t, whole + (need > 0 and before + n / 2 <= need)))
+            before += n
+    assert sorted(map(str, want)) == sorted(str((r.row.source, r.row.doc_id, r.row.text, r.copies)) for r in rows)
+
+
+def test_cutoffs_move_without_a_step(spark):
+    """A group between its language's bounds and its own goes from one to the other as it grows."""
+    highs = []
+    for n in (1, 20, 50, 51, 199, 200, 3000):
+        rows = spark.range(20000 + n).selectExpr(
+            "'en' AS lang", f"if(id < {n}, 'new', 'big') AS source", "100L AS n_words", f"if(id < {n}, 40L, 0L) AS n_symbols",
+            "0L AS n_dup_lines", "0L AS n_repeat_words", "500L AS word_chars", "false AS base_failed",
+        )
+        highs.append(quality_rules.cutoffs(rows).where("source = 'new'").first().symbol_rate.high)
+    # 400 symbols per 1000 words and a slack of 200: from the language's 200 to the group's own 600.
+    own = [200 + 400 * n // (n + quality_rules.PRIOR_ROWS) for n in (1, 20, 50, 51, 199, 200, 3000)]
+    assert all(abs(high - want) <= 15 for high, want in zip(highs, own))
+
+
 def test_held_out_quality_and_language(spark):
     folder = "/root/testdata/sf0.01"
     prepared(spark)
