@@ -13,9 +13,10 @@ label as registered domain.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorica.llm.common import stored
@@ -42,6 +43,11 @@ LEAST_STRENGTH, MOST_STRENGTH = 1.0, 1000.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _listed(spark: SparkSession, rows: list[dict[str, str]], schema: str) -> DataFrame:
+    """A frame of given rows out of one literal, so that no Python data source is in the plan."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+
+
 def with_parts(pages: DataFrame) -> DataFrame:
     """(page_id, host, path, site). A null url or one without :// has an empty host, path and site."""
     url = F.coalesce("url", F.lit(""))
@@ -64,7 +70,7 @@ def with_domains(sites: DataFrame, suffixes: Sequence[str] | DataFrame = PUBLIC_
     written out. The ends of a site meet them in a join, the longest wins. A site that is a suffix is its own domain.
     """
     if not isinstance(suffixes, DataFrame):
-        suffixes = sites.sparkSession.createDataFrame([(s,) for s in suffixes], "suffix string")
+        suffixes = _listed(sites.sparkSession, [{"suffix": s} for s in suffixes], "suffix string")
     known = suffixes.select("suffix").distinct()
     most = known.agg(F.coalesce(F.max(F.size(F.split("suffix", r"\."))), F.lit(0))).scalar()
     numbers = F.col("site").rlike(r"^([0-9]{1,3}\.){3}[0-9]{1,3}$|^\[.*\]$")
@@ -103,7 +109,8 @@ def with_rules(parts: DataFrame, rules: Sequence[tuple[str, str]] | DataFrame =
     if not isinstance(rules, DataFrame):
         if len(rules) <= PLAN_RULES:
             return parts.withColumn("match", rule_match(rules))
-        rules = parts.sparkSession.createDataFrame(list(rules), "verdict string, rule string")
+        rows = [{"verdict": verdict, "rule": rule} for verdict, rule in rules]
+        rules = _listed(parts.sparkSession, rows, "verdict string, rule string")
     slash = F.locate("/", F.col("rule"))
     split = rules.select(
         "verdict",
