@@ -2,7 +2,7 @@
 
 1. Texts are split into pre-tokens in blocks of documents. Where the pattern lets a space start a word, texts are cut there first,
    and only the distinct pieces of a block meet the pattern. A block keeps its distinct words, the words of every distinct
-   piece, and for every document the numbers of its pieces in order.
+   piece, and for every document the numbers of its pieces in order; frequent pieces have the short numbers.
 2. The words of all blocks are shuffled by their hash, so that equal words meet. Each is merged once and its ids go
    back to the blocks that hold it. A frequent word is one entry per block, so no word makes a task large.
 3. Every block puts the ids in the order of its positions. Blocks are stored in buckets, so only ids move to them.
@@ -27,6 +27,7 @@ import numpy as np
 import pandas as pd
 import regex
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -145,6 +146,30 @@ def unpack(data: bytes) -> np.ndarray:
     return values
 
 
+def pack_slots(slots: np.ndarray) -> bytes:
+    """Slots that were dealt in the order of their first use: 0 for a first use, else the slot plus 1."""
+    slots = np.asarray(slots, np.int64)
+    highest = np.maximum.accumulate(slots)
+    first = np.diff(highest, prepend=-1) > 0
+    return pack(np.where(first, 0, slots + 1))
+
+
+def unpack_slots(data: bytes) -> np.ndarray:
+    coded = unpack(data)
+    first = coded == 0
+    return np.where(first, np.cumsum(first) - 1, coded - 1)
+
+
+def _press(*parts: bytes) -> list[bytes]:
+    """Parts of a row that is shuffled; short codes and words shrink little by what Spark does to shuffled rows."""
+    with_zstd = zstandard.ZstdCompressor(level=3)
+    return [with_zstd.compress(part) for part in parts]
+
+
+def _unpress(*parts: bytes) -> list[bytes]:
+    return [zstandard.decompress(part) for part in parts]
+
+
 def _cut(data: bytes, lengths: np.ndarray) -> list[bytes]:
     ends = np.cumsum(lengths).tolist()
     return [data[a:b] for a, b in zip([0, *ends], ends)]
@@ -169,7 +194,10 @@ def _split_into_blocks(vocabulary: Vocabulary):
         def block() -> pd.DataFrame:
             slots: defaultdict[str, int] = defaultdict(count().__next__)
             piece_words, piece_sizes = [], []
-            for piece in pieces:
+            numbers, by_use = np.concatenate(places), list(pieces)
+            order = np.argsort(-np.bincount(numbers, minlength=len(by_use)), kind="stable")
+            for i in order.tolist():
+                piece = by_use[i]
                 whole = piece[1:] if piece[:1] == _FIRST else " " + piece
                 own = [slots[word] for word in split.findall(whole)]
                 piece_words += own
@@ -180,11 +208,11 @@ def _split_into_blocks(vocabulary: Vocabulary):
                 b"".join(words),
                 sum(map(len, words)),
                 pack(np.fromiter(map(len, words), np.int64, len(words))),
-                pack(np.array(piece_words, np.int64)),
+                pack_slots(np.array(piece_words, np.int64)),
                 pack(np.array(piece_sizes, np.int64)),
                 ids,
                 sizes,
-                pack(np.concatenate(places)),
+                pack(np.argsort(order)[numbers]),
             )
             return pd.DataFrame([row], columns=[c.split()[0] for c in _BLOCKS.split(", ")])
 
@@ -223,7 +251,7 @@ def _deal_words(buckets: int):
                         own = [words[i] for i in part]
                         size = np.fromiter(map(len, own), np.int64, len(own))
                         steps = np.diff(part, prepend=0)
-                        rows.append((bucket[part[0]], block, b"".join(own), pack(size), pack(steps)))
+                        rows.append((bucket[part[0]], block, *_press(b"".join(own), pack(size), pack(steps))))
                 yield pd.DataFrame(rows, columns=["bucket", "block", "words", "lengths", "slots"])
 
     return run
@@ -327,7 +355,7 @@ def _encode_words(held):
         ranks, pairs = held.value
         known: defaultdict[bytes, int] = defaultdict(count().__next__)
         at = []
-        for data, lengths in zip(group["words"], group["lengths"]):
+        for data, lengths in map(_unpress, group["words"], group["lengths"]):
             words = _cut(data, unpack(lengths))
             at.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
         merged = merge_words(list(known), ranks, pairs)
@@ -336,7 +364,7 @@ def _encode_words(held):
         rows = []
         for block, slots, own in zip(group["block"], group["slots"], at):
             ids = flat[_spread(first[own], counts[own])]
-            rows.append((block, slots, pack(counts[own]), _narrow(ids, len(ranks)).tobytes()))
+            rows.append((block, slots, *_press(pack(counts[own]), _narrow(ids, len(ranks)).tobytes())))
         return pd.DataFrame(rows, columns=["block", "slots", "counts", "ids"])
 
     return run
@@ -354,7 +382,8 @@ def _reassemble(vocabulary: int, finish):
         kind = _narrow(np.zeros(0, np.uint32), vocabulary).dtype
         for row in blocks.itertuples():
             amount = np.zeros(len(unpack(row.lengths)), np.int64)
-            parts = [(np.cumsum(unpack(w.slots)), unpack(w.counts), np.frombuffer(w.ids, kind)) for w in words.itertuples()]
+            shares = (_unpress(w.slots, w.counts, w.ids) for w in words.itertuples())
+            parts = [(np.cumsum(unpack(slots)), unpack(counts), np.frombuffer(ids, kind)) for slots, counts, ids in shares]
             for slots, counts, _ in parts:
                 amount[slots] = counts
             first = np.cumsum(amount) - amount
@@ -362,7 +391,7 @@ def _reassemble(vocabulary: int, finish):
             for slots, counts, ids in parts:
                 flat[_spread(first[slots], counts)] = ids
             # Tokens of the distinct pieces, then pieces in the order of each document.
-            of_piece = unpack(row.piece_words)
+            of_piece = unpack_slots(row.piece_words)
             upto = np.concatenate([[0], np.cumsum(amount[of_piece])])
             flat = flat[_spread(first[of_piece], amount[of_piece])]
             ends = np.cumsum(unpack(row.piece_sizes))

@@ -179,9 +179,16 @@ def test_blocks_and_packing(spark, vocabulary, monkeypatch):
     values = np.array([0, 1, 127, 128, 16383, 16384, (1 << 21) - 1, 1 << 21, (1 << 32) - 1])
     assert bpe.unpack(bpe.pack(values)).tolist() == values.tolist()
     assert bpe.unpack(bpe.pack(np.array([], int))).tolist() == []
+    for slots in ([], [0], [0, 0, 1, 0, 2, 2, 1, 3], list(range(300)) + [0, 299, 300]):
+        assert bpe.unpack_slots(bpe.pack_slots(np.array(slots, int))).tolist() == slots
+    assert bpe._unpress(*bpe._press(b"", b"a" * 1000)) == [b"", b"a" * 1000]
     docs = spark.createDataFrame([(i, prose(i, 50)) for i in range(30)], "doc_id long, text string").coalesce(1)
     decoded = bpe.decode(bpe.encode(docs, vocabulary), vocabulary).collect()
     assert {r.doc_id: bytes(r.decoded).decode() for r in decoded} == {i: prose(i, 50) for i in range(30)}
+    # The same from blocks of a document or two, between which the numbers of pieces differ.
+    monkeypatch.setattr(bpe, "BLOCK_CHARS", 400)
+    again = bpe.decode(bpe.encode(docs, vocabulary), vocabulary).collect()
+    assert sorted((r.doc_id, list(r.ids)) for r in again) == sorted((r.doc_id, list(r.ids)) for r in decoded)
 
 
 def test_base_spans_against_plain_patterns():
