@@ -9,13 +9,18 @@ its case flags.
 RE2 also reads every text once. Java restarts at each possible start, so ``a.*b``
 takes quadratic time on a long line of ``a``; such alternatives are anchored to
 the first start in a line, or in a run of the repeated class.
+
+Patterns that start with whole words need no search each: ``first_words`` finds the
+words of all of them in one pass over a text.
 """
 
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Sequence
 from functools import reduce
+from itertools import groupby
 from operator import or_
 
 from pyspark.sql import Column
@@ -29,6 +34,11 @@ _TOKEN = re.compile(r"\\.|[\[\]]|[^\\\[\]]+", re.DOTALL)
 _WORDS = re.compile(r"\(([a-z_]+(?:\|[a-z_]+)*)\)(?![?*{])|([a-z_])[a-z_]")
 _REPEATED = re.compile(r"(?P<head>.+?)(?P<run>\.|\[[^\]]*\])\*(?P<tail>.+)", re.DOTALL)
 _DOTTED_I = ("\u0130", "i")
+_FIRST_WORD = re.compile(
+    r"\\b(?:\((?P<words>[a-z_]+(?:\|[a-z_]+)*)\)|(?P<word>[a-z_]+))(?![?*{+])(?P<rest>.*)", re.DOTALL
+)
+# Spelled out: Java looks a listed character up in a table, and asks for ranges and \w one by one.
+_NO_WORD = f"[^{string.ascii_letters}{string.digits}_]"
 
 
 def _boundary(rest: str) -> str:
@@ -113,6 +123,55 @@ def java_pattern(pattern: str) -> str:
     return "(?dm)(?:" + "|".join(map(_read_once, alternatives)) + ")"
 
 
+def _word_rests(pattern: str) -> dict[str, str]:
+    """What must follow each of the words a pattern starts with; a pattern that starts otherwise is an error."""
+    rests = {}
+    for alternative in _alternatives(pattern.removeprefix("(?i)")):
+        head = _FIRST_WORD.fullmatch(alternative)
+        if not head or _REPEATED.fullmatch(alternative):
+            raise ValueError(f"doesn't start with a whole word: {alternative!r}")
+        rests |= dict.fromkeys((head["word"] or head["words"]).split("|"), head["rest"])
+    return rests
+
+
+def _any_word(rests: dict[str, str]) -> str:
+    """One alternative for each initial, then for each word, with what must follow it."""
+    branches = []
+    for initial, words in groupby(sorted(rests), key=lambda word: word[0]):
+        tails = "|".join(f"{word[1:]}(?={_translated(rests[word])})" for word in words)
+        branches.append(f"{initial}(?:{tails})")
+    return "|".join(branches)
+
+
+def first_words(text: Column, signatures: Sequence) -> Column:
+    """The first word of every match of the signatures in a text without a long s, in one pass over it.
+
+    Each match starts after a character that isn't part of a word; the blank put ahead is that of a match at
+    the start. Nothing but that character is taken up, so matches may overlap. At most one word fits a place, so
+    two patterns can't go on differently after the same word, and no word may start another one.
+    """
+    rests: dict[str, str] = {}
+    for signature in signatures:
+        for word, rest in _word_rests(signature.pattern).items():
+            if rests.setdefault(word, rest) != rest:
+                raise ValueError(f"two patterns go on differently after {word!r}")
+    ordered = sorted(rests)
+    for word, following in zip(ordered, ordered[1:]):
+        if following.startswith(word):
+            raise ValueError(f"{word!r} starts {following!r}")
+    initials = "".join(sorted({word[0] for word in rests}))
+    java = f"(?dm){_NO_WORD}(?=[{initials}])(?=({_any_word(rests)}))"
+    return F.regexp_extract_all(F.concat(F.lit(" "), text), F.lit(java), F.lit(1))
+
+
+def starts_match(words: Column, signature, hits: int = 1) -> Column:
+    """Whether ``hits`` or more of the found first words are the signature's."""
+    own = sorted(_word_rests(signature.pattern))
+    if hits == 1:
+        return F.arrays_overlap(words, F.array(*map(F.lit, own)))
+    return F.size(F.filter(words, lambda word: word.isin(own))) >= hits
+
+
 def search_text(*parts: Column) -> Column:
     """Lower-cased text of the parts, joined by a blank, nulls as empty.
 

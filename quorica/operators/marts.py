@@ -15,7 +15,15 @@ from quorica.functions.catalogues import (
     TOP_COMPLEXITY_TIER,
 )
 from quorica.functions.expressions import first_below, mean, row_count, share
-from quorica.functions.patterns import folded, matches, matches_at_least, search_text
+from quorica.functions.patterns import (
+    LONG_S,
+    first_words,
+    folded,
+    matches,
+    matches_at_least,
+    search_text,
+    starts_match,
+)
 
 FLAGS = [f.flag for f in FEATURES]
 # The ad-hoc scoring query lists every flag but the data-definition ones.
@@ -126,21 +134,26 @@ def feature_flags(questions: DataFrame, *kept: Column) -> DataFrame:
     ``inline`` makes the flags outputs of a generator. Filters and scores above
     it refer to finished values; through a projection Catalyst would copy the
     regexes into each of them and search every body again.
+
+    One pass finds the first words of all features. A text with a long s, whose word boundaries are
+    others, is searched feature by feature; only there is the folded text needed.
     """
-    text, plain = F.col("text"), F.col("plain")
+    text, plain, words = F.col("text"), F.col("plain"), F.col("words")
 
     def flag(feature) -> Column:
         if feature.min_hits > 1:
-            hit = matches_at_least(text, plain, feature, feature.min_hits)
+            searched = matches_at_least(text, plain, feature, feature.min_hits)
         else:
-            hit = matches(text, plain, feature)
+            searched = matches(text, plain, feature)
+        hit = F.when(plain.isNull(), starts_match(words, feature, feature.min_hits)).otherwise(searched)
         return hit.cast("long").alias(feature.flag)
 
     return (
         questions.select(F.col("id").alias("question_id"), *kept, search_text(F.col("body")).alias("text"))
-        .withColumn("plain", folded(text))
+        .withColumn("plain", F.when(F.contains(text, F.lit(LONG_S)), folded(text)))
+        .withColumn("words", F.when(plain.isNull(), first_words(text, FEATURES)))
         .select("*", F.inline(F.array(F.struct(*map(flag, FEATURES)))))
-        .drop("text", "plain")
+        .drop("text", "plain", "words")
     )
 
 
