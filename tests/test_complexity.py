@@ -1,5 +1,7 @@
 """How often the queries on complexity search a body."""
 
+import __spark_entry__ as entry_module
+from conftest import SF_DIR
 from quorica.operators import marts, textmining
 
 
@@ -10,3 +12,8 @@ def test_sort_of_the_scores_reads_finished_rows(spark, raw_rows):
     plan = scored._jdf.queryExecution().executedPlan().toString()
     between = plan.split("rangepartitioning", 1)[1].split("Generate", 1)[0]
     assert "Exchange hashpartitioning(question_id" in between
+
+
+def test_practice_pool_searches_each_body_once_for_all_features(spark):
+    plan = entry_module.queries()["practice_pool"](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
