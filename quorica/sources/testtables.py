@@ -97,24 +97,33 @@ def _with_total(df: DataFrame, other: DataFrame) -> DataFrame:
 
 
 def _answers(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+    """What a line alone decides is computed ahead of the join, which then shuffles results instead of their sources."""
     cents = "floor(l_extendedprice * 100 + 0.5)"
     line = f"concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, {cents})"
-    minutes = "cast(l_linenumber * l_linenumber * floor(l_quantity) * 7 AS int)"
+    lines = lineitem.selectExpr(
+        "l_orderkey",
+        f"{ANSWER_ID_BASE} + cast(conv(substring(md5({line}), 1, 15), 16, 10) AS bigint) AS id",
+        "CASE WHEN l_orderkey % 89 <> 0 THEN l_suppkey END AS owner_user_id",
+        "cast(l_linenumber * l_linenumber * floor(l_quantity) * 7 AS int) AS minutes",
+        "floor(l_quantity) % 21 - 5 AS score",
+        "cast(l_linenumber AS bigint) AS comment_count",
+        f"""concat('<pre><code>', {_pick(SNIPPETS, "(l_orderkey * 5 + l_linenumber * 3) % 27")},
+            '</code></pre>') AS body""",
+    )
     return (
-        lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .withColumn("created", F.expr(f"o_orderdate + make_dt_interval(0, 0, {minutes})"))
+        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .withColumn("created", F.expr("o_orderdate + make_dt_interval(0, 0, minutes)"))
         .selectExpr(
-            f"{ANSWER_ID_BASE} + cast(conv(substring(md5({line}), 1, 15), 16, 10) AS bigint) AS id",
+            "id",
             f"""CASE WHEN (l_orderkey * 7 + {TAG_SLOT}) % 9 > 1 THEN l_orderkey
                 ELSE l_orderkey - l_orderkey % 10 + 9 END AS parent_id""",
-            "CASE WHEN l_orderkey % 89 <> 0 THEN l_suppkey END AS owner_user_id",
+            "owner_user_id",
             "created AS creation_date",
             "created AS last_activity_date",
             "CASE WHEN l_orderkey % 3 = 0 THEN created END AS last_edit_date",
-            "floor(l_quantity) % 21 - 5 AS score",
-            "cast(l_linenumber AS bigint) AS comment_count",
-            f"""concat('<pre><code>', {_pick(SNIPPETS, "(l_orderkey * 5 + l_linenumber * 3) % 27")},
-                '</code></pre>') AS body""",
+            "score",
+            "comment_count",
+            "body",
         )
     )
 
