@@ -32,7 +32,8 @@ def test_flags_are_those_of_re2(spark):
     made = [specimens(f.pattern, rng) for f in FEATURES for _ in range(60)]
     glued = ["".join(rng.choices(PIECES, k=rng.randint(1, 14))) for _ in range(1500)]
     mixed = [rng.choice([" ", "", "\n", "(", "_"]).join(rng.choices(made, k=4)) for _ in range(1500)]
-    texts = [*TEXTS, *FOLDING, *made, *glued, *mixed]
+    apart = [c.join(["", "where", "join", ""]) for c in ["€", "\ud83d\ude00".encode("utf-16", "surrogatepass").decode("utf-16"), "ÿ", "\x00", "ā", "1", "Z", "-"]]
+    texts = [*TEXTS, *FOLDING, *made, *glued, *mixed, *apart]
     got, expected = flags_of(spark, texts), re2_flags(texts)
     assert [(t, got[i], expected[i]) for i, t in enumerate(texts) if got[i] != expected[i]] == []
     long_s = ["ſ" in t.lower() for t in texts]
