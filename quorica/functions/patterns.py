@@ -18,15 +18,16 @@ from __future__ import annotations
 
 import re
 import string
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from functools import reduce
-from itertools import groupby
+from itertools import chain, groupby
 from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LONG_S = "\u017f"
+_KELVIN = "\u212a"
 _SPACE = r"\t\n\f\r "
 _WORD = rf"\w{LONG_S}"
 _BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
@@ -34,6 +35,7 @@ _TOKEN = re.compile(r"\\.|[\[\]]|[^\\\[\]]+", re.DOTALL)
 _WORDS = re.compile(r"\(([a-z_]+(?:\|[a-z_]+)*)\)(?![?*{])|([a-z_])[a-z_]")
 _REPEATED = re.compile(r"(?P<head>.+?)(?P<run>\.|\[[^\]]*\])\*(?P<tail>.+)", re.DOTALL)
 _DOTTED_I = ("\u0130", "i")
+_FEW = 4
 _FIRST_WORD = re.compile(
     r"\\b(?:\((?P<words>[a-z_]+(?:\|[a-z_]+)*)\)|(?P<word>[a-z_]+))(?![?*{+])(?P<rest>.*)", re.DOTALL
 )
@@ -135,18 +137,28 @@ def _word_rests(pattern: str) -> dict[str, str]:
     return rests
 
 
+def _first_letters(words: Iterable[str]) -> str:
+    """A test that most other words fail: one class for each of the first three letters."""
+    return "".join(f"[{''.join(sorted(set(column)))}]" for column in [*zip(*words)][:3])
+
+
 def _any_word(rests: dict[str, str]) -> str:
-    """One alternative for each initial, then for each word, with what must follow it."""
-    branches = []
-    for initial, words in groupby(sorted(rests), key=lambda word: word[0]):
-        tails = "|".join(f"{word[1:]}(?={_translated(rests[word])})" for word in words)
-        branches.append(f"{initial}(?:{tails})")
-    return "|".join(branches)
+    """One alternative for each few initials, then for each initial, then for each word, with what must follow it."""
+    initials = [[*words] for _, words in groupby(sorted(rests), key=lambda word: word[0])]
+    groups = []
+    for few in (initials[i : i + _FEW] for i in range(0, len(initials), _FEW)):
+        branches = []
+        for words in few:
+            tails = "|".join(f"{word[1:]}(?={_translated(rests[word])})" for word in words)
+            branches.append(f"{words[0][0]}(?:{tails})")
+        groups.append(f"(?={_first_letters(chain(*few))})(?:{'|'.join(branches)})")
+    return "|".join(groups)
 
 
 def first_words(text: Column, signatures: Sequence) -> Column:
-    """The first word of every match of the signatures in a text without a long s, in one pass over it.
+    """The first word, lower-cased, of every match of the signatures in a text that passed ``ascii_fold`` and has no long s.
 
+    One pass over the text, in whatever case it is.
     Each match starts after a character that isn't part of a word; the blank put ahead is that of a match at
     the start. Nothing but that character is taken up, so matches may overlap. At most one word fits a place, so
     two patterns can't go on differently after the same word, and no word may start another one.
@@ -160,16 +172,15 @@ def first_words(text: Column, signatures: Sequence) -> Column:
     for word, following in zip(ordered, ordered[1:]):
         if following.startswith(word):
             raise ValueError(f"{word!r} starts {following!r}")
-    letters = "".join(f"[{''.join(sorted(set(column)))}]" for column in [*zip(*rests)][:3])
-    java = f"(?dm){_NO_WORD}(?={letters})(?=({_any_word(rests)}))"
-    return F.regexp_extract_all(F.concat(F.lit(" "), text), F.lit(java), F.lit(1))
+    java = f"(?dm){_NO_WORD}(?i)(?={_first_letters(rests)})(?=({_any_word(rests)}))"
+    return F.transform(F.regexp_extract_all(F.concat(F.lit(" "), text), F.lit(java), F.lit(1)), F.lower)
 
 
 def starts_match(words: Column, signature, hits: int = 1) -> Column:
     """Whether ``hits`` or more of the found first words are the signature's."""
     own = sorted(_word_rests(signature.pattern))
     if hits == 1:
-        return F.arrays_overlap(words, F.array(*map(F.lit, own)))
+        return reduce(or_, [F.array_contains(words, F.lit(word)) for word in own])
     return F.size(F.filter(words, lambda word: word.isin(own))) >= hits
 
 
@@ -183,6 +194,15 @@ def search_text(*parts: Column) -> Column:
     return F.lower(F.replace(F.concat(*spaced), F.lit(_DOTTED_I[0]), F.lit(_DOTTED_I[1])))
 
 
+def ascii_fold(text: Column) -> Column:
+    """A text with a letter beyond ASCII that case folding makes an ASCII one, lower-cased by ``search_text``; any other as it is.
+
+    Lower-casing changes no more than the case of ASCII letters for a pattern in the others, and takes as long as a search.
+    """
+    folds = reduce(or_, [F.contains(text, F.lit(letter)) for letter in (LONG_S, _DOTTED_I[0], _KELVIN)])
+    return F.when(folds, search_text(text)).otherwise(text)
+
+
 def folded(text: Column) -> Column:
     """Text for the substring test.
 

@@ -17,11 +17,11 @@ from quorica.functions.catalogues import (
 from quorica.functions.expressions import first_below, mean, row_count, share
 from quorica.functions.patterns import (
     LONG_S,
+    ascii_fold,
     first_words,
     folded,
     matches,
     matches_at_least,
-    search_text,
     starts_match,
 )
 
@@ -135,7 +135,7 @@ def feature_flags(questions: DataFrame, *kept: Column) -> DataFrame:
     it refer to finished values; through a projection Catalyst would copy the
     regexes into each of them and search every body again.
 
-    One pass finds the first words of all features. A text with a long s, whose word boundaries are
+    One pass finds the first words of all features, in any case. A text with a long s, whose word boundaries are
     others, is searched feature by feature; only there is the folded text needed.
     """
     text, plain, words = F.col("text"), F.col("plain"), F.col("words")
@@ -149,7 +149,8 @@ def feature_flags(questions: DataFrame, *kept: Column) -> DataFrame:
         return hit.cast("long").alias(feature.flag)
 
     return (
-        questions.select(F.col("id").alias("question_id"), *kept, search_text(F.col("body")).alias("text"))
+        questions.select(F.col("id").alias("question_id"), *kept, F.coalesce("body", F.lit("")).alias("text"))
+        .withColumn("text", ascii_fold(text))
         .withColumn("plain", F.when(F.contains(text, F.lit(LONG_S)), folded(text)))
         .withColumn("words", F.when(plain.isNull(), first_words(text, FEATURES)))
         .select("*", F.inline(F.array(F.struct(*map(flag, FEATURES)))))

@@ -241,10 +241,13 @@ def practice_pool(questions: DataFrame, complexity: DataFrame, tier: str, seed:
     partitioning draws the same sample; another seed draws another one. The n
     smallest digests are taken before the join, which n rows reach: both marts
     have one row for each selected question, so the join drops none of them.
+    The rebalance shuffles the joined rows, few as they are: the sort's two runs
+    read those, and the join with all questions is run once.
     """
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col("question_id").cast("string")))
     picked = _practice_picks(complexity, tier).orderBy(draw, "question_id").limit(n)
-    return _practice_rows(questions, F.broadcast(picked)).orderBy(draw, "question_id")
+    rows = _practice_rows(questions, F.broadcast(picked))
+    return rows.hint("rebalance", "question_id").orderBy(draw, "question_id")
 
 
 def active_features(complexity: DataFrame) -> DataFrame:

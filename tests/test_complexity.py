@@ -17,3 +17,10 @@ def test_sort_of_the_scores_reads_finished_rows(spark, raw_rows):
 def test_practice_pool_searches_each_body_once_for_all_features(spark):
     plan = entry_module.queries()["practice_pool"](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1
+
+
+def test_sort_of_the_practice_pool_joins_all_questions_once(spark):
+    """Between the join with all questions and the sort's ranges lies a shuffle, which the sort's two runs read."""
+    plan = entry_module.queries()["practice_pool"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    between = plan.split("rangepartitioning", 1)[1].split("Join", 1)[0]
+    assert "Exchange hashpartitioning(question_id" in between

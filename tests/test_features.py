@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quorica.functions.catalogues import FEATURES
-from quorica.functions.patterns import first_words, starts_match
+from quorica.functions.patterns import ascii_fold, first_words, starts_match
 from quorica.operators import marts
 from test_patterns import FOLDING, PIECES, TEXTS, specimens
 
@@ -77,3 +77,20 @@ def test_hits_are_counted_over_the_words_of_a_signature(spark):
         starts_match(F.array(F.lit("x")), entry),
     ).first()
     assert list(row) == [True, False, False]
+
+
+def test_one_pass_needs_no_lowered_text(spark):
+    df = spark.createDataFrame([("SELECT a FROM (Select b) wHERE (GROUP\nBy Sum\t(x)) SELECTED WITH Q_1 As (",)], "body string")
+    assert df.select(first_words(F.col("body"), FEATURES).alias("w")).first().w == [
+        "select", "select", "where", "group", "sum", "with"]
+
+
+def test_only_texts_with_letters_that_fold_to_ascii_are_lowered(spark):
+    kept = ["A\u00c4\u0178 JOIN", ""]
+    folding = {"JO\u0130N": "join", "UPDATE \u212a": "update k", "IN\u017fERT INTO": "in\u017fert into"}
+    texts = [*kept, *folding]
+    df = spark.createDataFrame([(t,) for t in texts], "body string")
+    assert [r[0] for r in df.select(ascii_fold(F.col("body"))).collect()] == [*kept, *folding.values()]
+    found = flags_of(spark, [*texts, "\u0130JOIN", "JOIN\u212a", "WITH \u212a AS ("])
+    hits = [[f.flag for f, flag in zip(FEATURES, found[i]) if flag] for i in range(len(found))]
+    assert hits == [["f_join"], [], ["f_join"], ["f_update"], ["f_insert"], [], [], ["f_cte"]]
